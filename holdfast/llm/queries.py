@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from holdfast.llm import langid, mixing, tsmedia
+from holdfast.llm import langid, mixing, tokenids, tsmedia, warc
 
 QUERIES = {
+    "op2_warc": warc.query,
     "op7_language_id": langid.query,
     "op8_media_columns": tsmedia.query,
+    "op9_token_ids": tokenids.query,
     "op10_mixing": mixing.query,
 }
 
