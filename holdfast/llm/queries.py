@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from holdfast.llm import langid, mixing, tokenids, tsmedia, warc
+from holdfast.llm import langid, mixing, sentencepieces, tokenids, tsmedia, warc
 
 QUERIES = {
+    "op1_sentencepiece": sentencepieces.query,
     "op2_warc": warc.query,
     "op7_language_id": langid.query,
     "op8_media_columns": tsmedia.query,

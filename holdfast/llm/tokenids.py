@@ -5,9 +5,8 @@ follow in a block of their own, so numpy decodes a block by table lookup and gat
 by their rank in the corpus before that, so frequent ids take one byte. The rank table is bounded by
 the vocabulary and broadcast.
 
-Encoding: tokens never cross ASCII white space, so the library encodes each distinct word once per
-task, and numpy maps whole texts to word numbers by 64-bit hashes (a task compares words of one
-worker only; a clash of two has odds of about n^2 / 2^65). The text is encoded twice, first to count,
+Encoding: tokens never cross ASCII white space, so the library encodes each distinct word of a worker
+once, and numpy gathers the ids of whole texts (holdfast.llm.units). The text is encoded twice, first to count,
 then to write, which costs less than keeping the ids on disk between.
 
 Files: each range of doc_id is one file of blocks; the manifest orders the files, and running sums over
@@ -20,13 +19,9 @@ equal doc_id keep an arbitrary order among them; null doc_id comes first; an emp
 from __future__ import annotations
 
 import struct
-import sys
-import types
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -34,105 +29,31 @@ from pyspark.sql import functions as F
 
 from holdfast.llm.common import Scratch, slices, table
 from holdfast.llm.files import Writer, reading
+from holdfast.llm.units import UnitEncoder
 
 END_ID = 1
-#: Distinct words that a worker remembers at most; then it starts anew.
-MAX_WORDS = 600_000
 HEADER = "<4sIQQQ"  # magic, documents, values, control bytes, value bytes
 MAGIC = b"HFTI"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_SALT = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
-class WordEncoder:
-    """Ids of whole texts, by words. Lives in the worker, so later tasks find the words of earlier ones."""
+class WordEncoder(UnitEncoder):
+    """Words between ASCII white space, encoded by the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.powers = _powers(1 << 16)
-        self.reset()
-
-    def reset(self) -> None:
-        self.number: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    @classmethod
-    def of(cls, path: str) -> WordEncoder:
-        home = sys.modules.setdefault("_holdfast_words", types.ModuleType("_holdfast_words")).__dict__
-        if path not in home:
-            home[path] = cls(path)
-        return home[path]
-
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
-        first = len(self.number)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while first + len(words) > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.ends[first : first + len(words)] = self.used + np.cumsum(sizes)
-        self.used += len(flat)
-        self.number.update(zip(keys, range(first, first + len(words)), strict=True))
-
-    def encode(self, texts: list[str | None], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and how many of them each text has (with `end` behind each)."""
-        raw = [(t or "").encode("utf-8", "replace") for t in texts]
-        data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-        bounds = np.cumsum([len(x) + 1 for x in raw])
-        if len(self.powers[0]) <= len(data):
-            self.powers = _powers(len(data) + 1)
-        inside = ~_SPACE[data]
-        edges = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-        start, stop = np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_SALT[data] * self.powers[0][: len(data)], out=sums[1:])
-        keys = (sums[stop] - sums[start]) * self.powers[1][start]
-        keys ^= (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        codes, distinct = pd.factorize(keys)
-        if len(self.number) + len(distinct) > MAX_WORDS:
-            self.reset()
-        known = self.number.get
-        place = [known(k, -1) for k in distinct.tolist()]
-        new = [i for i, p in enumerate(place) if p < 0]
-        if new:
-            at = np.full(len(distinct), len(keys))
-            np.minimum.at(at, codes, np.arange(len(codes)))
-            blob = data.tobytes()
-            first = at[new]
-            words = [blob[a:b].decode() for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
-            base = len(self.number)
-            self._learn(distinct[new].tolist(), words)
-            for j, i in enumerate(new):
-                place[i] = base + j
-        place = np.asarray(place, np.int64)
-        ends = self.ends[: len(self.number)]
-        begin = np.concatenate([[0], ends[:-1]]) if len(ends) else np.zeros(0, np.int64)
-        word = place[codes]
-        sizes = (ends - begin)[word] if len(word) else np.zeros(0, np.int64)
-        before = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[np.repeat(begin[word] - before[:-1], sizes) + np.arange(before[-1])] if len(word) else np.zeros(0, np.uint32)
-        count = np.searchsorted(start, bounds)
-        upto = before[count]
-        counts = np.diff(np.concatenate([[0], upto]))
-        if end is None:
-            return ids, counts
-        return np.insert(ids, upto, end), counts + 1
+
+    def units(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edges = np.diff(np.concatenate([[True], _SPACE[data]]).astype(np.int8))
+        return np.nonzero(edges == -1)[0], np.nonzero(edges == 1)[0]
+
+    def encode_units(self, units: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -170,7 +91,7 @@ def count(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, sums = WordEncoder.of(path), np.zeros(1 << 16, np.int64)
         for batch in slices(batches, "text", 2 << 20):
-            found = np.bincount(coder.encode(batch.column("text").to_pylist())[0], minlength=1 << 16)
+            found = np.bincount(coder.encode(batch.column("text").to_pylist(), END_ID)[0], minlength=1 << 16)
             if len(found) > len(sums):
                 sums = np.pad(sums, (0, len(found) - len(sums)))
             sums[: len(found)] += found
@@ -197,7 +118,7 @@ def write(docs: DataFrame, path: str, order: np.ndarray, scratch: Scratch) -> Da
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, ranks = WordEncoder.of(path), sent.value
         for batch in slices(batches, "text", 2 << 20):
-            ids, counts = coder.encode(batch.column("text").to_pylist())
+            ids, counts = coder.encode(batch.column("text").to_pylist(), END_ID)
             ids, at, packed = ranks[ids], 0, []
             for n in counts.tolist():
                 packed.append(pack(ids[at : at + n]))
