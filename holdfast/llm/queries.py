@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from holdfast.llm import langid, mixing, sentencepieces, tokenids, tsmedia, warc
+from holdfast.llm import jaccard, langid, mixing, sentencepieces, tokenids, tsmedia, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepieces.query,
     "op2_warc": warc.query,
+    "op5_ngram_jaccard": jaccard.query,
     "op7_language_id": langid.query,
     "op8_media_columns": tsmedia.query,
     "op9_token_ids": tokenids.query,
