@@ -18,6 +18,7 @@ equal doc_id keep an arbitrary order among them; null doc_id comes first; an emp
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 
@@ -35,22 +36,62 @@ END_ID = 1
 HEADER = "<4sIQQQ"  # magic, documents, values, control bytes, value bytes
 MAGIC = b"HFTI"
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Classes of bytes: white space, letters, digits, other ASCII, and bytes of which only the library knows.
+_SPACE, _LETTER, _DIGIT, _OTHER, _UNKNOWN = range(5)
+_CLASS = np.full(256, _UNKNOWN, np.uint8)
+_CLASS[:128] = _OTHER
+_CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 class WordEncoder(UnitEncoder):
-    """Words between ASCII white space, encoded by the library."""
+    """Runs of letters, of digits and of other characters, encoded by the library.
+
+    The tokenizer lower-cases and cuts between these runs itself, but for an apostrophe that starts a
+    contraction. Where a character beyond the Latin letters is near, there is no cut, and slices with
+    special tokens, which it reads before anything else, are cut at white space only.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
 
+    def prepare(self, data: np.ndarray) -> np.ndarray:
+        if b"<|" in data.tobytes():
+            return data
+        data = _LOWER[data]
+        latin = np.nonzero(data[:-1] == 0xC3)[0] + 1
+        upper = latin[(data[latin] >= 0x80) & (data[latin] <= 0x9E) & (data[latin] != 0x97)]
+        data[upper] += 0x20
+        return data
+
     def units(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        edges = np.diff(np.concatenate([[True], _SPACE[data]]).astype(np.int8))
-        return np.nonzero(edges == -1)[0], np.nonzero(edges == 1)[0]
+        kind = _CLASS[data]
+        space = kind == _SPACE
+        if b"<|" in data.tobytes():
+            cut = np.zeros(len(data), bool)
+        else:
+            latin = np.nonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))[0]
+            kind[latin] = kind[latin + 1] = _LETTER
+            known = kind != _UNKNOWN
+            cut = np.zeros(len(data), bool)
+            cut[1:] = (kind[1:] != kind[:-1]) & known[1:] & known[:-1]
+            # an apostrophe alone between other runs goes with the letters behind it
+            lone = np.nonzero((data[:-1] == 39) & (kind[1:] == _LETTER))[0]
+            lone = lone[(kind[lone - 1] != _OTHER) & (kind[lone - 1] != _UNKNOWN) | (lone == 0)]
+            cut[lone + 1] = False
+        cut[1:] |= space[1:] != space[:-1]
+        cut[0] = True
+        edges = np.append(np.nonzero(cut)[0], len(data))
+        start, stop = edges[:-1], edges[1:]
+        keep = ~space[start]
+        return start[keep], stop[keep]
 
     def encode_units(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
@@ -108,49 +149,40 @@ def ranking(counts: DataFrame) -> np.ndarray:
 
 
 def write(docs: DataFrame, path: str, order: np.ndarray, scratch: Scratch) -> DataFrame:
-    """docs (doc_id, text) -> manifest: file, first (its smallest doc_id), tokens. Files go to the folder `ids`."""
+    """docs (doc_id, text) -> manifest: file, first (its smallest doc_id), tokens, bytes. Files go to the folder `ids`."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     folder = scratch.path("ids")
     rank = np.zeros(int(order.max()) + 1 if len(order) else 1, np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
     sent = docs.sparkSession.sparkContext.broadcast(rank)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, ranks = WordEncoder.of(path), sent.value
+        out, first, total = None, None, 0
         for batch in slices(batches, "text", 2 << 20):
-            ids, counts = coder.encode(batch.column("text").to_pylist(), END_ID)
-            ids, at, packed = ranks[ids], 0, []
+            ids = batch.column("doc_id")
+            if out is None:
+                out, first = Writer(folder, "part", ".ids"), ids.slice(0, 1)
+            flat, counts = coder.encode(batch.column("text").to_pylist(), END_ID)
+            flat, at, packed = ranks[flat], 0, []
             for n in counts.tolist():
-                packed.append(pack(ids[at : at + n]))
+                packed.append(pack(flat[at : at + n]))
                 at += n
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary())], ["doc_id", "n", "control", "data"])
-
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, first, total = None, None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if out is None:
-                out, first = Writer(folder, "part", ".ids"), batch.column("doc_id")[0].as_py()
-            controls, datas = batch.column("control").to_pylist(), batch.column("data").to_pylist()
-            counts = batch.column("n").to_numpy()
-            sizes = np.array([[len(c), len(d)] for c, d in zip(controls, datas, strict=True)], np.int64)
+            sizes = np.array([[len(c), len(d)] for c, d in packed], np.int64)
             # one block: header, documents (id, flag of a null id, values, control bytes, value bytes), control bytes, value bytes
-            ids = batch.column("doc_id")
             head = np.column_stack([ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False), counts, sizes]).astype("<i8")
             out.write(struct.pack(HEADER, MAGIC, len(counts), int(counts.sum()), int(sizes[:, 0].sum()), int(sizes[:, 1].sum())))
             out.write(head.tobytes())
-            out.write(b"".join(controls))
-            out.write(b"".join(datas))
+            out.write(b"".join(c for c, _ in packed))
+            out.write(b"".join(d for _, d in packed))
             total += int(counts.sum())
         if out is not None:
             out.close()
-            kind = batch.schema.field("doc_id").type
-            yield pa.RecordBatch.from_arrays([pa.array([out.name]), pa.array([first], kind), pa.array([total], pa.int64()), pa.array([out.offset], pa.int64())], ["file", "first", "tokens", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([out.name]), first, pa.array([total], pa.int64()), pa.array([out.offset], pa.int64())], ["file", "first", "tokens", "bytes"])
 
-    packed = docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, n long, control binary, data binary")
-    ordered = packed.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return scratch.save(ordered.mapInArrow(store, f"file string, first {kind}, tokens long, bytes long"), "manifest")
+    # ordered before it is encoded: the sampling for the ranges would encode everything once more
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    return scratch.save(ordered.mapInArrow(run, f"file string, first {kind}, tokens long, bytes long"), "manifest")
 
 
 def read(manifest: DataFrame, order: np.ndarray, scratch: Scratch) -> DataFrame:
@@ -184,7 +216,8 @@ def read(manifest: DataFrame, order: np.ndarray, scratch: Scratch) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(head[:, 0], mask=head[:, 1] == 1), pa.array(ends - head[:, 2]), pa.array(head[:, 2]), pa.array(rows, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
                         base = int(ends[-1])
 
-    spread = starts.repartition(F.col("file"))
+    # a number of our own: the rows are few and small, and would be put together into one task
+    spread = starts.repartition(max(1, manifest.count()), F.col("file"))
     return spread.select("file", "bytes", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 

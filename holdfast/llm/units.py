@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 
 #: Distinct units that a worker remembers at most; then it starts anew.
-MAX_UNITS = 600_000
+MAX_UNITS = 2_000_000
 
 _SALT = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -36,7 +36,7 @@ class UnitEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[int, int] = {}
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 16, np.int64)
         self.used = 0
@@ -53,6 +53,10 @@ class UnitEncoder:
     def to_bytes(self, text: str) -> bytes:
         return text.encode("utf-8", "replace")
 
+    def prepare(self, data: np.ndarray) -> np.ndarray:
+        """Bytes that are the same to the encoder may be made equal here; lengths stay."""
+        return data
+
     def units(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and stops. Each text ends with a line feed of ours, which belongs to no unit; `bounds` are the places behind it."""
         raise NotImplementedError
@@ -60,11 +64,11 @@ class UnitEncoder:
     def encode_units(self, units: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
-    def _learn(self, keys: list[int], units: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, units: list[str]) -> None:
         lists = self.encode_units(units)
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
-        first = len(self.number)
+        first = len(self.keys)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while first + len(units) > len(self.ends):
@@ -72,12 +76,15 @@ class UnitEncoder:
         self.ids[self.used : self.used + len(flat)] = flat
         self.ends[first : first + len(units)] = self.used + np.cumsum(sizes)
         self.used += len(flat)
-        self.number.update(zip(keys, range(first, first + len(units)), strict=True))
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.numbers = np.insert(self.numbers, at, (first + order).astype(np.int32))
+        self.keys = np.insert(self.keys, at, keys[order])
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many of them each text has (with `end` behind each, if given)."""
         raw = [self.to_bytes(t or "") for t in texts]
-        data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        data = self.prepare(np.frombuffer(b"\n".join(raw) + b"\n", np.uint8))
         bounds = np.cumsum([len(x) + 1 for x in raw])
         if len(self.powers[0]) <= len(data):
             self.powers = _powers(len(data) + 1)
@@ -87,23 +94,19 @@ class UnitEncoder:
         keys = (sums[stop] - sums[start]) * self.powers[1][start]
         keys ^= (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         codes, distinct = pd.factorize(keys)
-        if len(self.number) + len(distinct) > MAX_UNITS:
+        if len(self.keys) + len(distinct) > MAX_UNITS:
             self.reset()
-        known = self.number.get
-        place = [known(k, -1) for k in distinct.tolist()]
-        new = [i for i, p in enumerate(place) if p < 0]
-        if new:
-            at = np.full(len(distinct), len(keys))
-            np.minimum.at(at, codes, np.arange(len(codes)))
+        at = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
+        new = np.nonzero(self.keys[at] != distinct)[0] if len(self.keys) else np.arange(len(distinct))
+        if len(new):
+            first = np.full(len(distinct), len(keys))
+            np.minimum.at(first, codes, np.arange(len(codes)))
             blob = data.tobytes()
-            first = at[new]
-            base = len(self.number)
-            self._learn(distinct[new].tolist(), [blob[a:b].decode() for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)])
-            for j, i in enumerate(new):
-                place[i] = base + j
-        ends = self.ends[: len(self.number)]
+            self._learn(distinct[new], [blob[a:b].decode() for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist(), strict=True)])
+        place = self.numbers[np.searchsorted(self.keys, distinct)]
+        ends = self.ends[: len(self.keys)]
         begin = np.concatenate([np.zeros(1, np.int64), ends])[:-1]
-        unit = np.asarray(place, np.int64)[codes]
+        unit = place[codes]
         sizes = (ends - begin)[unit]
         before = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
         ids = self.ids[np.repeat(begin[unit] - before[:-1], sizes) + np.arange(before[-1])]
