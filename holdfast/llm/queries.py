@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from holdfast.llm import jaccard, langid, mixing, neardup, sentencepieces, tokenids, tsmedia, warc
+from holdfast.llm import jaccard, langid, mixing, neardup, sentencepieces, tokenids, tsmedia, warc, wrappers
 
 QUERIES = {
     "op1_sentencepiece": sentencepieces.query,
     "op2_warc": warc.query,
+    "op3_html_extraction": wrappers.query,
     "op4_embedding_neardup": neardup.query,
     "op5_ngram_jaccard": jaccard.query,
     "op7_language_id": langid.query,
