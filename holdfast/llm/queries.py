@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from holdfast.llm import jaccard, langid, mixing, neardup, sentencepieces, tokenids, tsmedia, warc, wrappers
+from holdfast.llm import jaccard, langid, mixing, neardup, pii, sentencepieces, tokenids, tsmedia, warc, wrappers
 
 QUERIES = {
     "op1_sentencepiece": sentencepieces.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_html_extraction": wrappers.query,
     "op4_embedding_neardup": neardup.query,
     "op5_ngram_jaccard": jaccard.query,
+    "op6_pii": pii.query,
     "op7_language_id": langid.query,
     "op8_media_columns": tsmedia.query,
     "op9_token_ids": tokenids.query,

@@ -216,9 +216,11 @@ class PieceEncoder(UnitEncoder):
         return self.model.encode_words([u.replace(" ", MARK) for u in units])
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_pieces, ids, decoded_sha256 (of the decoded ids), round_trip."""
-    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_pieces int, ids array<int>, decoded_sha256 string, round_trip boolean").fields])
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_pieces, ids, decoded_sha256 (of the decoded ids), round_trip; and the columns in `keep`."""
+    kept = ["doc_id", *(c for c in keep if c in docs.columns)]
+    own = ["n_pieces", "ids", "decoded_sha256", "round_trip"]
+    schema = T.StructType([*(docs.schema[c] for c in kept), *T._parse_datatype_string("n_pieces int, ids array<int>, decoded_sha256 string, round_trip boolean").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PieceEncoder.of(path)
@@ -231,9 +233,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             same = [b == (t or "") for b, t in zip(back, texts, strict=True)]
             digests = [hashlib.sha256(b.encode()).hexdigest() for b in back]
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int32()), lists, pa.array(digests), pa.array(same)], ["doc_id", "n_pieces", "ids", "decoded_sha256", "round_trip"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(counts, pa.int32()), lists, pa.array(digests, pa.string()), pa.array(same, pa.bool_())], kept + own)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select(*kept, "text").mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
