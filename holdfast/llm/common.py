@@ -40,7 +40,14 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(self.path(name))
+        # the written table replaces the shuffle files that led to it; they go once it is complete
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(self.path(name))
+        finally:
+            self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

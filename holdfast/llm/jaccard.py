@@ -2,15 +2,16 @@
 
 A document's set is compared through prefixes: with similarity t, two linked sets share a token among
 the first n - ceil(t n) + 1 of each, in any order that holds for all documents. Three orders are used.
-All put tokens that are frequent in the corpus last (by a count sketch of fixed size over all
-documents) and differ in a keyed permutation. A pair must share a prefix token in the first order to
+All put tokens that are frequent in the corpus last (by a count sketch over all documents, which
+grows with them up to a bound) and differ in a keyed permutation. A pair must share a prefix token in the first order to
 become a candidate, and in each of the others before its sets are compared. Results are exact, up to
 clashes of 64-bit hashes of shingles.
 
 Copies: equal sets form a class, and only its smallest doc_id is joined. Large groups of near copies:
-first, each prefix token proposes pairs with the smallest document that has it; components of what
-holds are found; then only pairs of different components, which share a token, are left to propose, so
-a group that hangs together is never expanded into pairs. All that can link is compared or already
+first, each prefix token proposes pairs with the document that has the fewest rarer ones; components of
+what holds are found; then only pairs of different components, which share a token, are left to propose, so
+a group that hangs together is never expanded into pairs. Sizes and the places of a token in both
+prefixes bound what two sets can have in common, and are compared before documents are. All that can link is compared or already
 connected, without caps.
 
 Text is read again rather than kept: prefixes are a tenth of the sets, and full sets are made for
@@ -24,10 +25,12 @@ null doc_id keeps its row and stays alone unless its text has copies; other colu
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +39,18 @@ from holdfast.llm.common import Scratch, slices, table
 from holdfast.llm.graph import components
 from holdfast.llm.units import _SALT, _powers
 
-#: Counters of the sketch, and how many go into one row of it.
-SKETCH_BITS, CHUNK_BITS = 20, 14
+#: Counters of the sketch: their number as bits, within bounds, how many go into one row of it, shingles
+#: to a counter, and bytes of text to a shingle, about.
+MIN_BITS, MAX_BITS, CHUNK_BITS, LOAD, WORD_BYTES = 18, 24, 14, 16, 6.4
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 #: Bits of the Bloom filter at most: 32 MB.
 BLOOM_BITS = 1 << 28
 
+#: Slots of a set's outline.
+FOLDS = 256
+#: Documents of a token that are compared in one block, on each side.
+BLOCK = 128
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -84,82 +93,113 @@ class Shingler:
         return out, made
 
 
-def _sketch(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, sums = Shingler(width), np.zeros(1 << SKETCH_BITS, np.int64)
+def sketch_bits(docs: DataFrame) -> int:
+    """About LOAD shingles to a counter, within bounds: the sketch keeps its resolution while the corpus grows."""
+    size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(1 + size / WORD_BYTES / LOAD))))
+
+
+def _slot(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def frequency_levels(docs: DataFrame, width: int, scratch: Scratch) -> np.ndarray:
+    """For each counter, the logarithm of how often its shingles occur in all documents: 2 ** MAX_BITS bytes at most."""
+    bits = sketch_bits(docs)
+
+    def pack(sums: np.ndarray) -> bytes:
+        return zlib.compress(sums.astype("<u4").tobytes(), 1)
+
+    def unpack(packed: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(packed), "<u4").astype(np.int64)
+
+    def rows(chunks: list[int], sums: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array([pack(x) for x in sums], pa.binary()), pa.array([int(x.sum()) for x in sums], pa.int64())], ["chunk", "counts", "total"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, sums = Shingler(width), np.zeros(1 << bits, np.uint32)
         for batch in slices(batches, "text", 2 << 20):
-            sums += np.bincount((make(batch.column("text").to_pylist())[0] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sums))
-        yield _chunks(dict(enumerate(sums.reshape(-1, 1 << CHUNK_BITS))))
+            slot, n = np.unique(_slot(make(batch.column("text").to_pylist())[0], bits), return_counts=True)
+            sums[slot] += n.astype(np.uint32)
+        parts = sums.reshape(-1, 1 << CHUNK_BITS)
+        used = np.nonzero(parts.any(axis=1))[0]
+        for at in range(0, len(used), 64):
+            yield rows(used[at : at + 64].tolist(), list(parts[used[at : at + 64]]))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums[chunk] = sums.get(chunk, 0) + unpack(packed)
+        yield rows(list(sums), list(sums.values()))
 
-    return run
+    kind = "chunk int, counts binary, total long"
+    merged = scratch.save(docs.select("text").mapInArrow(count, kind).repartition("chunk").mapInArrow(merge, kind), "sketch")
+    mean = max(1.0, (merged.agg(F.sum("total").alias("n")).first()["n"] or 0) / (1 << bits))
 
+    def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # counters up to twice the mean are alike; what stands out comes last
+            out = [zlib.compress(np.log2(1 + unpack(x) / (2 * mean)).astype(np.uint8).tobytes(), 1) for x in batch.column("counts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(out, pa.binary())], ["chunk", "levels"])
 
-def _chunks(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
-    packed = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in sums.values()]
-    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["chunk", "counts"])
+    levels = np.zeros((1 << bits - CHUNK_BITS, 1 << CHUNK_BITS), np.uint8)
+    for row in merged.select("chunk", "counts").mapInArrow(grade, "chunk int, levels binary").toLocalIterator():
+        levels[row["chunk"]] = np.frombuffer(zlib.decompress(row["levels"]), np.uint8)
+    scratch.drop("sketch")
+    return levels.ravel()
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(zlib.decompress(packed), "<i8")
-    yield _chunks(sums)
+def prefix(own: np.ndarray, level: np.ndarray, order: int, share: tuple[int, int]) -> np.ndarray:
+    """Tokens of a set that come first in an order: level, then a keyed permutation of the hash."""
+    length = len(own) - -(-share[0] * len(own) // share[1]) + 1
+    return np.sort(np.partition(level | (_mix(own ^ np.uint64(ORDERS[order])) >> np.uint64(8)), length - 1)[:length])
 
 
-def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
-    """For each counter, the logarithm of how often its shingles occur in the corpus; 1 MB, whatever the input."""
-    kind = "chunk int, counts binary"
-    rows = docs.select("text").mapInArrow(_sketch(width), kind).repartition("chunk").mapInArrow(_merge, kind).collect()
-    sums = np.zeros((1 << SKETCH_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.int64)
-    for row in rows:
-        sums[row["chunk"]] += np.frombuffer(zlib.decompress(row["counts"]), "<i8")
-    sums = sums.ravel()
-    # counters near the mean are alike; only what stands out goes last
-    return np.log2(1 + sums / (4 * max(1.0, sums.mean()))).astype(np.uint8)
+def _level(own: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return levels[_slot(own, len(levels).bit_length() - 1)].astype(np.uint64) << np.uint64(56)
 
 
 def prefix_sets(docs: DataFrame, levels: np.ndarray, width: int, share: tuple[int, int]) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n, digest (null for an empty set), p0 (long tokens), p1, p2 (int tokens)."""
+    """docs (doc_id, text) -> doc_id, n, digest (null for an empty set), prefix of the first order."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(levels)
-    num, den = share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, levels = Shingler(width), sent.value
         for batch in slices(batches, "text", 2 << 20):
             found, made = make(batch.column("text").to_pylist())
-            sizes, digests, parts, at = [], [], [[], [], []], 0
+            sizes, digests, firsts, at = [], [], [], 0
             for m in made.tolist():
                 own = np.unique(found[at : at + m])
                 at += m
-                n = len(own)
-                sizes.append(n)
-                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None)
-                length = n - -(-num * n // den) + 1 if n else 0
-                if n:
-                    # token of an order: its level, then a keyed permutation of the hash; frequent ones are greatest
-                    level = levels[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
-                for part, key in zip(parts, ORDERS, strict=True):
-                    if n:
-                        token = level | (_mix(own ^ np.uint64(key)) >> np.uint64(8))
-                        part.append(np.partition(token, length - 1)[:length])
-                    else:
-                        part.append(np.zeros(0, np.uint64))
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts[0]])]), pa.int32())
-            wide = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts[0]).view(np.int64)))
-            narrow = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(p).astype(np.uint32).view(np.int32))) for p in parts[1:]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), wide, *narrow], ["doc_id", "n", "digest", "p0", "p1", "p2"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n int, digest binary, p0 array<long>, p1 array<int>, p2 array<int>")
+                sizes.append(len(own))
+                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if m else None)
+                firsts.append(prefix(own, _level(own, levels), 0, share) if m else own)
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in firsts])]), pa.int32())
+            tokens = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(firsts).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), tokens], ["doc_id", "n", "digest", "tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n int, digest binary, tokens array<long>")
 
 
 def _slots(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(_mix(ids.astype(np.int64).view(np.uint64) + np.uint64(k)) % np.uint64(bits)).astype(np.int64) for k in (1, 2, 3)]
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Sets of the documents in wanted (doc_id), and of a few others that its Bloom filter lets through."""
+def outline(own: np.ndarray, levels: np.ndarray, share: tuple[int, int]) -> bytes:
+    """What the sieve needs of a set: how many tokens fall on each of FOLDS slots, and the prefixes of the further orders."""
+    level = _level(own, levels)
+    folds = np.bincount((own & np.uint64(FOLDS - 1)).astype(np.int64), minlength=FOLDS)
+    rest = [prefix(own, level, k, share).astype(np.uint32) for k in range(1, len(ORDERS))]
+    return np.concatenate([folds.astype(np.uint32), *rest]).tobytes()
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int, pack) -> DataFrame:
+    """doc_id, tokens (what `pack` makes of the sorted set) of the documents in wanted (doc_id).
+
+    A Bloom filter of bounded size spares most other texts the work; the join then is exact.
+    """
     count = wanted.count()
     bits = min(BLOOM_BITS, max(1 << 16, 1 << (16 * count).bit_length()))
 
@@ -187,12 +227,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             for part in slices(iter([batch.filter(pa.array(keep.astype(bool)))]), "text", 2 << 20):
                 found, made = make(part.column("text").to_pylist())
                 ends = np.cumsum(made)
-                sets = [np.unique(found[a:b]).view(np.int64) for a, b in zip((ends - made).tolist(), ends.tolist(), strict=True)]
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], ["doc_id", "tokens"])
+                sets = [pack(np.unique(found[a:b])) for a, b in zip((ends - made).tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "tokens"])
 
     known = docs.select("doc_id", "text").filter("doc_id is not null")
-    return known.mapInArrow(run, f"doc_id {kind}, tokens array<long>")
+    made = known.mapInArrow(run, f"doc_id {kind}, tokens binary")
+    return made.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 class Join:
@@ -201,53 +241,127 @@ class Join:
     def __init__(self, docs: DataFrame, scratch: Scratch, width: int, share: tuple[int, int]):
         self.docs, self.scratch, self.width, self.share = docs.select("doc_id", "text"), scratch, width, share
 
-    def _fits(self, a: str, b: str) -> F.Column:
-        """Sizes alone allow the similarity."""
+    def _fits(self, na: str, ia: str, nb: str, ib: str) -> F.Column:
+        """Sizes, and the places of a token that is the first in common, allow the similarity."""
         num, den = self.share
-        return (F.least(a, b).cast("long") * den >= F.greatest(a, b).cast("long") * num)
+        na, ia, nb, ib = (F.col(c).cast("long") for c in (na, ia, nb, ib))
+        most = F.least(na - ia, nb - ib)  # places count from 0, so the token itself is among these
+        return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (most * (num + den) >= num * (na + nb))
+
+    def _meet(self, pairs: DataFrame, name: str, pack, compare) -> DataFrame:
+        """pairs (a, b, token, g) -> those that `compare` keeps, given the pairs of a block and the packed sets by doc_id.
+
+        Pairs meet in blocks of the documents that share their token, so that a set is sent once to
+        a block and not once for each pair.
+        """
+        scratch, kind = self.scratch, self.docs.schema["doc_id"].dataType.simpleString()
+        block = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("g") / BLOCK)).cast("int")
+        keys = ["token", "i", "j"]
+        placed = scratch.save(pairs.select("token", block("a").alias("i"), block("b").alias("j"), "a", "b", "g"), f"{name}-placed")
+        members = scratch.save(placed.select(*keys, F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-members")
+        wanted = scratch.save(members.select("doc_id").distinct(), f"{name}-wanted")
+        sets = scratch.save(sets_of(self.docs, wanted, self.width, pack), f"{name}-sets")
+
+        def run(pairs: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+            return pairs[compare(pairs, dict(zip(members["doc_id"].tolist(), members["tokens"], strict=True)))][["a", "b", "token", "g"]]
+
+        right = members.join(sets, "doc_id").groupBy(*keys)
+        out = placed.groupBy(*keys).cogroup(right).applyInPandas(run, f"a {kind}, b {kind}, token long, g long")
+        out = scratch.save(out, f"{name}-met")
+        scratch.drop(*(f"{name}-{x}" for x in ("placed", "members", "wanted", "sets")))
+        return out
 
     def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """pairs (a, b) -> those linked. Filters of the further orders first, then the sets."""
-        held, scratch = self.nodes, self.scratch
-        side = lambda c: held.select(F.col("doc_id").alias(c), F.col("p1").alias(f"{c}1"), F.col("p2").alias(f"{c}2"))
-        passed = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2")).select("a", "b")
-        passed = scratch.save(passed, f"{name}-passed")
-        wanted = passed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = scratch.save(full_sets(self.docs, scratch.save(wanted, f"{name}-wanted"), self.width).join(scratch.spark.read.parquet(scratch.path(f"{name}-wanted")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}-sets")
+        """pairs (a, b, token, g) -> links (a, b). A sieve of outlines comes first, then the sets themselves.
+
+        The sieve intersects the filters of the further orders, and bounds the overlap by the slots:
+        two sets have no more tokens in common than the smaller count of each slot, added up.
+        """
         num, den = self.share
-        both = passed.join(sets.toDF("b", "tb"), "b").join(sets.toDF("a", "ta"), "a")
-        common = F.size(F.array_intersect("ta", "tb")).cast("long")
-        linked = both.withColumn("_c", common).filter(F.col("_c") * den >= (F.size("ta") + F.size("tb") - F.col("_c")) * num)
-        out = scratch.save(linked.select("a", "b"), f"{name}-links")
-        scratch.drop(f"{name}-sets", f"{name}-wanted")
-        return out
+        share, sent = self.share, self.scratch.spark.sparkContext.broadcast(self.levels)
+
+        def sieve(pairs: pd.DataFrame, packed: dict) -> np.ndarray:
+            own = {d: np.frombuffer(x, np.uint32) for d, x in packed.items()}
+            folds = {d: x[:FOLDS].astype(np.int64) for d, x in own.items()}
+            a, b = np.stack([folds[x] for x in pairs["a"].tolist()]), np.stack([folds[x] for x in pairs["b"].tolist()])
+            most = np.minimum(a, b).sum(axis=1)
+            keep = most * den >= num * (a.sum(axis=1) + b.sum(axis=1) - most)
+            firsts: dict = {}
+
+            def cut(x) -> list[set]:
+                if x not in firsts:
+                    n = int(folds[x].sum())
+                    firsts[x] = [set(y.tolist()) for y in np.split(own[x][FOLDS:], len(ORDERS) - 1)] if n else []
+                return firsts[x]
+
+            for i in np.nonzero(keep)[0].tolist():
+                keep[i] = all(not x.isdisjoint(y) for x, y in zip(cut(pairs["a"].iat[i]), cut(pairs["b"].iat[i]), strict=True))
+            return keep
+
+        def exact(pairs: pd.DataFrame, packed: dict) -> np.ndarray:
+            own = {d: np.frombuffer(x, np.uint64) for d, x in packed.items()}
+            out = np.zeros(len(pairs), bool)
+            for i, (a, b) in enumerate(zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True)):
+                common = len(np.intersect1d(own[a], own[b], assume_unique=True))
+                out[i] = common * den >= num * (len(own[a]) + len(own[b]) - common)
+            return out
+
+        passed = self._meet(pairs, f"{name}-sieve", lambda own: outline(own, sent.value, share), sieve)
+        return self._meet(passed, f"{name}-exact", lambda own: own.tobytes(), exact).select("a", "b")
+
+    def _across(self, placed: DataFrame) -> DataFrame:
+        """placed (token, g, doc_id, n, i, c) -> pairs (a, b, token, g) of different components that may link.
+
+        Sizes and places are compared first, then those of whole components, and documents last:
+        neither a large component nor documents that differ too much are expanded into pairs.
+        """
+        scratch = self.scratch
+        span = lambda d, *keys: d.groupBy(*keys).agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+        mixed = span(placed, "token").filter("lo < hi").select("token")
+        open_ = scratch.save(placed.join(mixed, "token", "left_semi"), "open")
+        kinds = scratch.save(span(open_, "token", "n", "i"), "kinds")
+        x, y = kinds.toDF("token", "n", "i", "lo", "hi"), kinds.toDF("token", "n2", "i2", "lo2", "hi2")
+        alive = x.join(y, "token").filter(self._fits("n", "i", "n2", "i2") & (F.least("lo", "lo2") < F.greatest("hi", "hi2"))).select("token", "n", "i").distinct()
+        groups = scratch.save(open_.join(alive, ["token", "n", "i"], "left_semi"), "groups")
+        classes = groups.select("token", "c", "n", "i").distinct()
+        x, y = classes.toDF("token", "ca", "na", "ia"), classes.toDF("token", "cb", "nb", "ib")
+        met = x.join(y, "token").filter((F.col("ca") < F.col("cb")) & self._fits("na", "ia", "nb", "ib"))
+        a = groups.select("token", F.col("c").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("doc_id").alias("x"), "g")
+        b = groups.select("token", F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("doc_id").alias("y"))
+        pairs = met.join(a, ["token", "ca", "na", "ia"]).join(b, ["token", "cb", "nb", "ib"])
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "token", "g")
+
+    @staticmethod
+    def _once(pairs: DataFrame) -> DataFrame:
+        """Each pair with the least of the tokens that propose it, so that pairs of a group meet under few tokens."""
+        return pairs.groupBy("a", "b").agg(F.min(F.struct("token", "g")).alias("t")).select("a", "b", "t.token", "t.g")
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every row."""
         scratch = self.scratch
-        levels = frequency_levels(self.docs, self.width)
-        sets = scratch.save(prefix_sets(self.docs, levels, self.width, self.share), "prefixes")
+        self.levels = frequency_levels(self.docs, self.width, scratch)
+        made = scratch.save(prefix_sets(self.docs, self.levels, self.width, self.share), "prefixes")
+        sets = scratch.save(made.select("doc_id", "n", "digest"), "sets")
         classes = scratch.save(sets.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep")), "classes")
         reps = classes.filter("rep is not null").select(F.col("rep").alias("doc_id"), F.col("digest").alias("_d"))
-        nodes = sets.filter("n > 0").join(reps, "doc_id").filter("digest = _d").select("doc_id", "n", "p0", "p1", "p2")
-        self.nodes = scratch.save(nodes.dropDuplicates(["doc_id", "n"]), "nodes")
-        tokens = self.nodes.select(F.explode("p0").alias("token"), "doc_id", "n")
-        counts = scratch.save(tokens.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("lead"), F.count(F.lit(1)).alias("g")).filter("g > 1").select("token", "lead"), "counts")
+        nodes = made.filter("n > 0").join(reps, "doc_id").filter("digest = _d").select("doc_id", "n", "tokens")
+        tokens = scratch.save(nodes.select(F.posexplode("tokens").alias("i", "token"), "doc_id", "n"), "tokens")
+        scratch.drop("prefixes")
+        # the lead of a token is the document that has the fewest rarer tokens: the middle of a group of near copies
+        counts = tokens.groupBy("token").agg(F.min(F.struct("i", "doc_id", "n")).alias("lead"), F.count(F.lit(1)).alias("g"))
+        counts = scratch.save(counts.filter("g > 1"), "counts")
         shared = scratch.save(tokens.join(counts, "token"), "shared")
-        scratch.drop("counts")
-        first = shared.filter(F.col("doc_id") > F.col("lead.doc_id")).filter(self._fits("n", "lead.n"))
-        first = scratch.save(first.select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs1")
+        scratch.drop("tokens", "counts")
+        first = shared.filter(F.col("doc_id") != F.col("lead.doc_id")).filter(self._fits("n", "i", "lead.n", "lead.i"))
+        first = first.select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b"), "token", "g")
+        first = scratch.save(self._once(first), "pairs1")
         links1 = self._verified(first, "first")
         comp = components(links1, scratch, "comp1")
-        placed = shared.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+        placed = shared.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "g", "doc_id", "n", "i", F.coalesce("component", "doc_id").alias("c"))
         placed = scratch.save(placed, "placed")
         scratch.drop("shared")
-        mixed = scratch.save(placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token"), "mixed")
-        open_ = scratch.save(placed.join(mixed, "token", "left_semi"), "open")
-        scratch.drop("placed", "mixed")
-        a, b = open_.toDF("token", "a", "na", "ca"), open_.toDF("token", "b", "nb", "cb")
-        cross = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & self._fits("na", "nb"))
-        second = scratch.save(cross.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs2")
+        second = scratch.save(self._once(self._across(placed)).join(first, ["a", "b"], "left_anti"), "pairs2")
+        scratch.drop("placed", "open", "kinds", "groups")
         links2 = self._verified(second, "second")
         comp = components(links1.union(links2), scratch, "comp2")
         of_class = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("_digest"), F.col("n").alias("_n"), F.coalesce("component", "rep").alias("_c"))
