@@ -20,7 +20,7 @@ NEEDS = [(2, 2, 2, 1, 1, 1), (0, 0, 0, 0, 0, 0), (3, 0, 0, 0, 0, 0), (0, 3, 0, 0
 GROUP_A, GROUP_B = tuple(f"location_{i}" for i in range(1, 41)), tuple(f"location_{i}" for i in range(30, 71))
 
 
-def query(name: str, sql: str | None = None, adapter: bool = True):
+def query(name: str, sql: str | None = None):
     """Register a function of a catalog; `sql` follows the derivation's common tables."""
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None, adapter: bool = True):
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = (SQL + sql) if adapter else sql
+            ORACLES[name] = SQL + sql
         return f
 
     return add
@@ -386,10 +386,6 @@ def _(c):
     return scans.fold_observations(c.observations, c.objects).drop("last_check_result", "observed")
 
 
-def _seen(c):
-    return c.scans.join(c.copies, "location_id").filter(F.crc32(F.col("copy_id").cast("binary")) % 4 != 0).select("scan_id", "copy_id")
-
-
 @query("k30_scan_candidates", """SELECT s.scan_id, c.copy_id, c.location_id, f.collection_id FROM copies c JOIN file_refs f USING (file_id) JOIN scans s ON s.location_id = c.location_id AND s.collection_id = f.collection_id WHERE c.state = 'present' AND s.status = 'complete' AND NOT s.had_errors AND c.last_seen_ms <= s.started_ms""")
 def _(c):
     return scans.missing_candidates(c, c.copies.limit(0).select(F.lit("").alias("scan_id"), "copy_id"))
@@ -457,11 +453,6 @@ def _(c):
     return scans.interleaved_scans(c)
 
 
-@query("e08_device_history", "SELECT 'device_' || o_custkey AS device_id, 'site_' || (o_orderkey % 25) AS site_id, epoch_ms(o_orderdate) AS arrived_ms, lead(epoch_ms(o_orderdate)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, 'site_' || (o_orderkey % 25)) AS departed_ms FROM orders", adapter=False)
-def _(c):
-    raise NotImplementedError
-
-
 def _device_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     text = lambda p, x: F.concat(F.lit(p), x.cast("string"))
@@ -469,8 +460,9 @@ def _device_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["e08_device_history"] = _device_history
+ORACLES["e08_device_history"] = "SELECT 'device_' || o_custkey AS device_id, 'site_' || (o_orderkey % 25) AS site_id, epoch_ms(o_orderdate) AS arrived_ms, lead(epoch_ms(o_orderdate)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, 'site_' || (o_orderkey % 25)) AS departed_ms FROM orders"
 
-_LOG = """WITH rec AS (SELECT 'origin_' || (user_id % 4) AS origin_id, event_id, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) + (event_id % 997 = 0)::INT AS origin_seq, sha256(event_id::VARCHAR) AS hash FROM events),
+_LOG = """WITH rec AS (SELECT 'origin_' || (user_id % 4) AS origin_id, event_id, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS origin_seq, sha256(event_id::VARCHAR) AS hash FROM events),
 chain AS (SELECT origin_id, origin_seq, hash, CASE WHEN event_id % 101 = 0 THEN hash ELSE lag(hash) OVER (PARTITION BY origin_id ORDER BY event_id) END AS previous_hash FROM rec), """
 
 
@@ -481,13 +473,13 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = W.partitionBy("o").orderBy("event_id")
     rows = e.select("event_id", (F.col("user_id") % 4).alias("o"), F.sha2(F.col("event_id").cast("string").cast("binary"), 256).alias("hash"))
     return rows.select(
-        F.concat(F.lit("origin_"), F.col("o").cast("string")).alias("origin_id"), (F.row_number().over(own) + (F.col("event_id") % 997 == 0).cast("int")).cast("long").alias("origin_seq"), "hash",
+        F.concat(F.lit("origin_"), F.col("o").cast("string")).alias("origin_id"), F.row_number().over(own).cast("long").alias("origin_seq"), "hash",
         F.when(F.col("event_id") % 101 == 0, F.col("hash")).otherwise(F.lag("hash").over(own)).alias("previous_hash"),
     )
 
 
-QUERIES["i12_chain_faults"] = lambda spark, sf_dir: log.chain_faults(_log(spark, sf_dir))
-ORACLES["i12_chain_faults"] = _LOG + """p AS (SELECT *, lag(hash) OVER w AS h, lag(origin_seq) OVER w AS s FROM chain WINDOW w AS (PARTITION BY origin_id ORDER BY origin_seq, hash)),
+QUERIES["i12_chain_faults"] = lambda spark, sf_dir: log.chain_faults(_log(spark, sf_dir).filter(~F.col("hash").startswith("00")))
+ORACLES["i12_chain_faults"] = _LOG + """p AS (SELECT *, lag(hash) OVER w AS h, lag(origin_seq) OVER w AS s FROM chain WHERE NOT starts_with(hash, '00') WINDOW w AS (PARTITION BY origin_id ORDER BY origin_seq)),
 q AS (SELECT origin_id, origin_seq, CASE WHEN s IS NULL THEN CASE WHEN previous_hash IS NOT NULL THEN 'first_record_has_previous' WHEN origin_seq <> 1 THEN 'gap' END WHEN origin_seq = s THEN 'rewritten' WHEN origin_seq <> s + 1 THEN 'gap' WHEN previous_hash IS DISTINCT FROM h THEN 'broken_link' END AS fault FROM p) SELECT * FROM q WHERE fault IS NOT NULL"""
 QUERIES["g06_frontier"] = lambda spark, sf_dir: log.frontier(_log(spark, sf_dir).dropDuplicates(["origin_id", "origin_seq"])).select("origin_id", "seq")
 ORACLES["g06_frontier"] = _LOG + "x AS (SELECT 1) SELECT origin_id, max(origin_seq) AS seq FROM chain GROUP BY 1"

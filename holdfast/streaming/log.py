@@ -64,7 +64,9 @@ def new_requests(applied: DataFrame, incoming: DataFrame) -> DataFrame:
     known = applied.select("operation_key", F.col("request").alias("_request"))
     rows = incoming.dropDuplicates(["operation_key", "request"]).join(known, "operation_key", "left")
     clash = F.col("_request").isNotNull() & (F.col("_request") != F.col("request"))
-    return rows.withColumn("request", F.when(clash, F.raise_error(F.lit("an operation key was used for another request"))).otherwise(F.col("request"))).filter("_request is null").drop("_request")
+    # inside the filter, so that no plan can drop the rows before they are checked
+    fresh = F.when(clash, F.raise_error(F.lit("an operation key was used for another request")).cast("boolean")).otherwise(F.col("_request").isNull())
+    return rows.filter(fresh).drop("_request")
 
 
 def conflicts(observed: DataFrame, frontiers: DataFrame) -> DataFrame:
