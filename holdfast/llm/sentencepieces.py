@@ -36,7 +36,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Pairs of pieces whose stability is remembered at most.
-MAX_PAIRS = 2_000_000
+MAX_PAIRS = 300_000
 
 
 def _wire(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -189,6 +189,8 @@ class Model:
 class PieceEncoder(UnitEncoder):
     """Marked words of whole texts. Spaces stand for the marks until a word is encoded."""
 
+    max_units = 500_000
+
     def __init__(self, path: str):
         super().__init__()
         with open(path, "rb") as f:

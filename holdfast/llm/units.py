@@ -15,9 +15,6 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 
-#: Distinct units that a worker remembers at most; then it starts anew.
-MAX_UNITS = 2_000_000
-
 _SALT = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -31,6 +28,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class UnitEncoder:
     """Subclasses say how a text becomes bytes, where units lie in them, and what the ids of new units are."""
 
+    #: Distinct units that a worker remembers at most; then it starts anew.
+    max_units = 2_000_000
+
     def __init__(self):
         self.powers = _powers(1 << 16)
         self.reset()
@@ -94,7 +94,7 @@ class UnitEncoder:
         keys = (sums[stop] - sums[start]) * self.powers[1][start]
         keys ^= (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         codes, distinct = pd.factorize(keys)
-        if len(self.keys) + len(distinct) > MAX_UNITS:
+        if len(self.keys) + len(distinct) > self.max_units:
             self.reset()
         at = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
         new = np.nonzero(self.keys[at] != distinct)[0] if len(self.keys) else np.arange(len(distinct))
