@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.operators import access, find, policy, review, risk, scans, status, summaries
+from holdfast.operators import access, find, history, metadata, migrate, policy, review, risk, scans, status, summaries
 from holdfast.operators.find import Filter, Group
+from holdfast.sources import annex
 from holdfast.sources.adapter import AS_OF, DAY, SQL, WINDOW, catalog
 from holdfast.streaming import log
 
@@ -483,3 +484,80 @@ ORACLES["i12_chain_faults"] = _LOG + """p AS (SELECT *, lag(hash) OVER w AS h, l
 q AS (SELECT origin_id, origin_seq, CASE WHEN s IS NULL THEN CASE WHEN previous_hash IS NOT NULL THEN 'first_record_has_previous' WHEN origin_seq <> 1 THEN 'gap' END WHEN origin_seq = s THEN 'rewritten' WHEN origin_seq <> s + 1 THEN 'gap' WHEN previous_hash IS DISTINCT FROM h THEN 'broken_link' END AS fault FROM p) SELECT * FROM q WHERE fault IS NOT NULL"""
 QUERIES["g06_frontier"] = lambda spark, sf_dir: log.frontier(_log(spark, sf_dir).dropDuplicates(["origin_id", "origin_seq"])).select("origin_id", "seq")
 ORACLES["g06_frontier"] = _LOG + "x AS (SELECT 1) SELECT origin_id, max(origin_seq) AS seq FROM chain GROUP BY 1"
+
+
+@query("k04_object_history", "SELECT seq AS history_id, time_ms, kind FROM observations WHERE object_id = 'object_7' ORDER BY time_ms, seq LIMIT 51")
+def _(c):
+    return history.object_history(c.observations.withColumnRenamed("seq", "history_id"), "object_7", 50).select("history_id", "time_ms", "kind")
+
+
+@query("k18_running_jobs", "SELECT scan_id AS job_id, started_ms FROM scans WHERE status = 'running'")
+def _(c):
+    return history.jobs(c.scans.withColumnRenamed("scan_id", "job_id")).select("job_id", "started_ms")
+
+
+@query("k55_scan_counts", "SELECT location_id AS scan_id, count(*) FILTER (state = 'present') AS new, count(*) FILTER (state = 'corrupt') AS changed, count(DISTINCT file_id) FILTER (integrity_code = 1) AS verified FROM copies GROUP BY 1")
+def _(c):
+    change = F.when(F.col("state") == "present", "new").when(F.col("state") == "corrupt", "changed")
+    return history.scan_counts(c.copies.select(F.col("location_id").alias("scan_id"), "file_id", change.alias("change"), F.when(F.col("integrity_code") == 1, "verified").alias("integrity")))
+
+
+@query("k57_acceptance_preview", "SELECT f.file_id, f.content_id AS expected, 'content_' || (f.origin_seq // 5) AS observed FROM file_refs f WHERE f.state = 'active' AND f.identity_state = 'resolved' AND f.origin_seq % 9 <> 0 AND f.content_id <> 'content_' || (f.origin_seq // 5)")
+def _(c):
+    seen = c.file_refs.select("file_id", F.concat(F.lit("content_"), F.floor(F.col("origin_seq") / 5).cast("string")).alias("observed"))
+    return history.acceptance_preview(c.file_refs.withColumn("annex", F.col("origin_seq") % 9 == 0).withColumnRenamed("content_id", "expected"), seen)
+
+
+_TOPOLOGY = """, topo AS (SELECT l.location_id, CASE WHEN l.kind = 'service' THEN 'service:' || l.location_id ELSE 'device:' || l.device_id END AS domain, coalesce(l.site_id, d.current_site_id) AS site, l.archive_root_id, l.device_id FROM locations l LEFT JOIN devices d USING (device_id) WHERE l.status = 'active' AND coalesce(l.site_id, d.current_site_id) IS NOT NULL),
+risks AS (SELECT DISTINCT t.location_id, r.risk_id FROM topo t JOIN risk_assignments r ON (r.entity_type = 'location' AND r.entity_id = t.location_id) OR (r.entity_type = 'archive_root' AND r.entity_id = t.archive_root_id) OR (r.entity_type = 'device' AND r.entity_id = t.device_id) OR (r.entity_type = 'site' AND r.entity_id = t.site)) """
+
+
+@query("k39_metadata_independence", _TOPOLOGY + """SELECT l.location_id AS destination_id, CASE WHEN l.encryption_state IS NULL THEN 'local_remote_storage_identity_unverified' WHEN t.domain IS NULL THEN 'location_topology_unresolved'
+ELSE array_to_string(list_filter([CASE WHEN t.domain = o.domain THEN 'same_storage_domain' END, CASE WHEN t.site = o.site THEN 'same_site' END, CASE WHEN EXISTS (SELECT 1 FROM risks a JOIN risks b USING (risk_id) WHERE a.location_id = t.location_id AND b.location_id = 'location_2') THEN 'shared_custom_risk_domain' END], lambda x: x IS NOT NULL), ',') END AS reasons
+FROM locations l LEFT JOIN topo t USING (location_id) LEFT JOIN topo o ON o.location_id = 'location_2'""")
+def _(c):
+    found = metadata.independence(c, c.locations.select(F.col("location_id").alias("destination_id"), "location_id", F.col("encryption_state").isNull().alias("local")), "location_2")
+    return found.select("destination_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+_META = ", cp AS (SELECT scan_id AS checkpoint_id, started_ms // 1000000 AS last_seq, NOT had_errors AS committed FROM scans), ds AS (SELECT location_id AS destination_id, status, 100000 + length(display_name) AS event_seq FROM locations), rp AS (SELECT 'scan_' || replace(location_id, 'location_', '') AS checkpoint_id, location_id AS destination_id, CASE WHEN kind = 'service' THEN 'verified' ELSE 'pending' END AS status, CASE WHEN encryption_state = 'unencrypted' THEN 'independent' ELSE 'unknown' END AS independence, 100000 + 3 * length(location_id) AS event_seq FROM locations) "
+
+
+@query("k38_metadata_protection", _META + """, x AS (SELECT coalesce(max(last_seq), 0) AS checkpointed, coalesce(max(last_seq) FILTER (committed), 0) AS committed, coalesce(max(last_seq) FILTER (committed AND checkpoint_id IN (SELECT r.checkpoint_id FROM rp r JOIN ds d USING (destination_id) WHERE r.status = 'verified' AND r.independence = 'independent' AND d.status = 'active' AND r.event_seq > d.event_seq AND r.event_seq >= 100005)), 0) AS protected FROM cp)
+SELECT *, greatest(0, 1100000 - checkpointed) AS uncheckpointed, greatest(0, 1100000 - committed) AS uncommitted, greatest(0, 1100000 - protected) AS unreplicated FROM x""")
+def _(c):
+    n = F.length("location_id")
+    checkpoints = c.scans.select(F.col("scan_id").alias("checkpoint_id"), F.floor(F.col("started_ms") / 1_000_000).alias("last_seq"), (~F.col("had_errors")).alias("committed"))
+    destinations = c.locations.select(F.col("location_id").alias("destination_id"), "status", (100_000 + F.length("display_name")).cast("long").alias("event_seq"))
+    replications = c.locations.select(
+        F.concat(F.lit("scan_"), F.replace("location_id", F.lit("location_"), F.lit(""))).alias("checkpoint_id"), F.col("location_id").alias("destination_id"), F.when(F.col("kind") == "service", "verified").otherwise("pending").alias("status"),
+        F.when(F.col("encryption_state") == "unencrypted", "independent").otherwise("unknown").alias("independence"), (100_000 + 3 * n).cast("long").alias("event_seq"),
+    )
+    return metadata.protection(checkpoints, replications, destinations, 1_100_000, 100_005)
+
+
+@query("k53_mapped_state", "SELECT location_id, CASE WHEN state = 'missing' THEN 'missing' WHEN state IN ('present', 'corrupt') AND error_code IS DISTINCT FROM 'read_error' THEN 'present' ELSE 'unknown' END AS presence, CASE WHEN state = 'corrupt' OR integrity_code = 2 THEN 'damaged' WHEN state = 'present' AND integrity_code = 1 AND error_code IS NULL THEN 'verified' ELSE 'unverified' END AS integrity, count(*) AS n FROM copies GROUP BY 1, 2, 3")
+def _(c):
+    return migrate.mapped_state(c.copies).groupBy("location_id", "presence", "integrity").agg(F.count(F.lit(1)).alias("n"))
+
+
+_KEYS = ", k AS (SELECT object_id, CASE expected_size % 4 WHEN 0 THEN 'SHA256-s' || expected_size || '--' || expected WHEN 1 THEN 'SHA256E-s' || expected_size || '-m5--' || expected || '.txt' WHEN 2 THEN 'WORM-s' || expected_size || '--' || expected ELSE 'SHA256-s' || expected_size || expected END AS key FROM objects WHERE expected IS NOT NULL) "
+
+
+@query("a10_annex_keys", _KEYS + "SELECT object_id, regexp_extract(key, '^[A-Z0-9]*') AS backend, TRY_CAST(regexp_extract(split_part(key, '--', 1), '-s([^-]*)', 1) AS BIGINT) AS size, CASE WHEN key LIKE 'SHA256%--%' THEN substr(split_part(key, '--', 2), 1, 64) END AS sha256, (key LIKE 'SHA256%--%')::INT AS supported FROM k")
+def _(c):
+    digest, size = F.lower(F.hex("expected")), F.col("expected_size").cast("string")
+    make = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    kind = F.col("expected_size") % 4
+    key = F.when(kind == 0, make("SHA256-s", size, "--", digest)).when(kind == 1, make("SHA256E-s", size, "-m5--", digest, ".txt")).when(kind == 2, make("WORM-s", size, "--", digest)).otherwise(make("SHA256-s", size, digest))
+    rows = c.objects.filter("expected is not null").select("object_id", key.alias("key"))
+    parsed = rows.select("object_id", annex.parse_key("key").alias("k"))
+    return parsed.select("object_id", "k.backend", "k.size", "k.sha256", F.col("k.supported").cast("int").alias("supported"))
+
+
+@query("a10_annex_locations", ", l AS (SELECT object_id AS key, location_id AS uuid, kind, seq FROM observations) SELECT key, uuid, arg_max(CASE WHEN kind = 'missing' THEN 'missing' WHEN kind = 'read_error' THEN 'unknown' ELSE 'present' END, seq) AS state FROM l GROUP BY 1, 2")
+def _(c):
+    sign = F.when(F.col("kind") == "missing", "0").when(F.col("kind") == "read_error", "X").otherwise("1")
+    line = F.struct("seq", F.concat(F.col("time_ms").cast("string"), F.lit("s "), sign, F.lit(" "), "location_id").alias("line"))
+    logs = c.observations.groupBy(F.col("object_id").alias("key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("blob"))
+    return annex.location_states(logs)

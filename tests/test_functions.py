@@ -157,3 +157,49 @@ def test_equal_tables_and_fingerprint(spark):
     assert tuple(scans.equal_tables(a, a.orderBy("b")).first()) == (0, 0)
     assert tuple(scans.equal_tables(a, a.distinct()).first()) == (1, 0)
     assert scans.fingerprint(a).first() == scans.fingerprint(a.orderBy(F.desc("a"))).first()
+
+
+def test_last_expectation_follows_causes(spark):
+    from holdfast.operators import migrate
+
+    rows = [("f", "h", "o1", 5, 0, "r1"), ("f", "h", "o2", 3, 0, "r2"), ("f", "x", "o2", 9, 0, "r9"), ("g", "h", "o1", 1, 0, "s1"), ("g", "h", "o1", 1, 2, "s2")]
+    expected = spark.createDataFrame(rows, "file_id string, hash string, origin_id string, seq long, item int, record_id string")
+    projected = spark.createDataFrame([("f", "h"), ("g", "h")], "file_id string, hash string")
+    for saw, last in ((("r1", "o2", 3), "r1"), (("r2", "o1", 5), "r2")):
+        frontiers = spark.createDataFrame([saw], "record_id string, origin_id string, seq long")
+        got = {r["file_id"]: r["record_id"] for r in migrate.last_expectation(expected, projected, frontiers).collect()}
+        assert got == {"f": last, "g": "s2"}
+
+
+def test_subject_history_pages(spark):
+    from holdfast.operators import history
+
+    items = spark.createDataFrame([("o", i, 0, {"file": "f" if i % 2 else "g"}) for i in range(10)], "origin_id string, origin_seq long, item_index int, item map<string,string>")
+    assert [r["origin_seq"] for r in history.subject_history(items, "f", 1, 2).collect()] == [3, 5, 7]
+
+
+def test_annex_logs(spark):
+    from holdfast.sources import annex
+
+    logs = spark.createDataFrame([("k", "9s 1 u\n1s 0 u\n5s X v\n")], "key string, blob string")
+    assert {(r["uuid"], r["state"]) for r in annex.location_states(logs).collect()} == {("u", "missing"), ("v", "unknown")}
+    with pytest.raises(Exception, match="malformed"):
+        annex.location_states(spark.createDataFrame([("k", "1s 1")], "key string, blob string")).collect()
+    trees = spark.createDataFrame([("120000", ".git/annex/objects/a/b/K/K"), ("120000", "x/K/L"), ("100644", "/annex/objects/K\nrest"), ("100644", "text")], "mode string, blob string")
+    assert [r["k"] for r in trees.select(annex.key_of_pointer("mode", "blob").alias("k")).collect()] == ["K", None, "K", None]
+
+
+def test_attachment_plan_is_greedy(spark):
+    from holdfast.operators import access
+
+    from .test_fixtures import build, device, location
+
+    copies = [(f"c{i}{d}", f"f{i}", f"l{d}", f"x{i}", None, "present", 1, 1, "ok", 1, None) for d, files in {"a": (1, 2), "b": (2, 3, 4), "c": (1,)}.items() for i in files]
+    c = build(spark, devices=[device(d, None) for d in "abc"], locations=[location(f"l{d}", "filesystem", device=d) for d in "abc"], file_refs=[(f"f{i}", "k", "p", f"x{i}", None, "active", "resolved", "o", i, 1) for i in range(1, 6)], copies=copies)
+    requested = spark.createDataFrame([(i, f"f{i}") for i in range(1, 6)], "ordinal long, file_id string")
+    none = c.locations.limit(0).select("location_id")
+    assert [tuple(r) for r in access.attachment_plan(c, requested, none).orderBy("step").collect()] == [(1, "b", 3), (2, "a", 1)]
+    states = {r["file_id"]: r["access"] for r in access.access_states(c, requested, spark.createDataFrame([("lb",)], "location_id string"), "k").collect()}
+    assert states == {"f1": "attachment_required", "f2": "accessible", "f3": "accessible", "f4": "accessible", "f5": "no_known_copy"}
+    lines = spark.createDataFrame([(1, '"f1"'), (2, '{"file_ref_id": "f2"}'), (3, '"f1"')], "ordinal long, line string")
+    assert {tuple(r) for r in access.parse_requests(lines).select("ordinal", "file_id").collect()} == {(1, "f1"), (2, "f2")}
