@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that a Python task works on at once; longer single texts form their own slice.
 SLICE_BYTES = 8 << 20
+#: The same where numpy makes several arrays of eight bytes for each byte of text.
+NUMPY_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,6 +73,8 @@ def word_count(text) -> F.Column:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about `limit` bytes of `column`; rows stay whole and in order."""
+    # the plain allocator gives large buffers back at once; a worker's memory is that of the batch at hand
+    pa.set_memory_pool(pa.system_memory_pool())
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
         start = held = 0

@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import Scratch, slices, table
+from holdfast.llm.common import NUMPY_BYTES, Scratch, slices, table
 from holdfast.llm.graph import components
-from holdfast.llm.units import _SALT, _powers
+from holdfast.llm.units import _SALT, _powers, release
 
 #: Counters of the sketch: their number as bits, within bounds, how many go into one row of it, shingles
 #: to a counter, and bytes of text to a shingle, about.
-MIN_BITS, MAX_BITS, CHUNK_BITS, LOAD, WORD_BYTES = 18, 24, 14, 16, 6.4
+MIN_BITS, MAX_BITS, CHUNK_BITS, LOAD, WORD_BYTES = 18, 24, 14, 32, 6.4
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 #: Bits of the Bloom filter at most: 32 MB.
 BLOOM_BITS = 1 << 28
@@ -66,6 +66,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class Shingler:
     def __init__(self, width: int):
+        release()
         self.width, self.powers = width, _powers(1 << 20)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +119,7 @@ def frequency_levels(docs: DataFrame, width: int, scratch: Scratch) -> np.ndarra
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, sums = Shingler(width), np.zeros(1 << bits, np.uint32)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", NUMPY_BYTES):
             slot, n = np.unique(_slot(make(batch.column("text").to_pylist())[0], bits), return_counts=True)
             sums[slot] += n.astype(np.uint32)
         parts = sums.reshape(-1, 1 << CHUNK_BITS)
@@ -167,7 +168,7 @@ def prefix_sets(docs: DataFrame, levels: np.ndarray, width: int, share: tuple[in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, levels = Shingler(width), sent.value
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", NUMPY_BYTES):
             found, made = make(batch.column("text").to_pylist())
             sizes, digests, firsts, at = [], [], [], 0
             for m in made.tolist():
@@ -224,7 +225,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int, pack) -> DataFrame:
         for batch in batches:
             slots = _slots(batch.column("doc_id").to_numpy(zero_copy_only=False), bits)
             keep = np.all([held[s >> 3] >> (7 - (s & 7)).astype(np.uint8) & 1 for s in slots], axis=0)
-            for part in slices(iter([batch.filter(pa.array(keep.astype(bool)))]), "text", 2 << 20):
+            for part in slices(iter([batch.filter(pa.array(keep.astype(bool)))]), "text", NUMPY_BYTES):
                 found, made = make(part.column("text").to_pylist())
                 ends = np.cumsum(made)
                 sets = [pack(np.unique(found[a:b])) for a, b in zip((ends - made).tolist(), ends.tolist(), strict=True)]

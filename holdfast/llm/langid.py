@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.llm.common import slices, table
+from holdfast.llm.units import release
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -30,7 +31,7 @@ MAX_MATRIX = 256 << 20
 ALPHA = 0.1
 UNKNOWN = "und"
 #: Code points of a text that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
@@ -57,6 +58,7 @@ def features(text: str) -> Iterator[np.ndarray]:
 
 def _counter(index: dict[str, int]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sums = np.zeros((len(index), 1 << BITS), np.int64)
         docs = np.zeros(len(index), np.int64)
         for batch in batches:
@@ -118,6 +120,7 @@ def annotate(docs: DataFrame, model) -> DataFrame:
     names = [f.name for f in schema.fields]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "text"):
             found = [classify(x, *sent.value) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from holdfast.llm.common import slices, table
+from holdfast.llm.common import NUMPY_BYTES, slices, table
 from holdfast.llm.units import UnitEncoder
 
 MARK = "▁"
@@ -99,7 +99,7 @@ class Model:
         self.outcast = min((self.scores[i] for i in self.vocab.values()), default=0.0) - 10.0
         # a line feed in no piece is a unit of its own
         self.cuts_lines = not any("\n" in p for p in self.vocab)
-        self._stable: dict[tuple[str, str], bool] = {}
+        self._stable: dict[int, bool] = {}
         self._raw = [b"" if t == CONTROL else bytes([self.bytes.index(i)]) if t == BYTE else " ⁇ ".encode() if t == UNKNOWN else p.replace(MARK, " ").encode() for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True))]
 
     def merge(self, symbols: list[str]) -> list[str]:
@@ -115,26 +115,35 @@ class Model:
                 return symbols
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
-    def stable(self, left: str, right: str) -> bool:
-        key = (left, right)
+    def stable(self, left: int, right: int) -> bool:
+        """Whether merging the characters of two pieces gives these two again; left is -1 before the first piece."""
+        key = (left + 1) * len(self.pieces) + right
         found = self._stable.get(key)
         if found is None:
             if len(self._stable) >= MAX_PAIRS:
                 self._stable.clear()
-            found = self._stable[key] = self.merge([*left, *right]) == ([left, right] if left else [right])
+            pair = [self.pieces[left]] * (left >= 0) + [self.pieces[right]]
+            found = self._stable[key] = self.merge([*"".join(pair)]) == pair
         return found
 
-    def _extend_bpe(self, word: str, at: int, last: list[str]) -> None:
-        """The last piece of word[: at + 1], from those of its prefixes."""
-        vocab, stable = self.vocab, self._stable
+    def _extend_bpe(self, word: str, at: int, last: list[str], ids: list[int]) -> None:
+        """The last piece of word[: at + 1], from those of its prefixes. A character without a piece (-2) merges with nothing."""
+        get, known, n = self.vocab.get, self._stable.get, len(self.pieces)
         for size in range(min(self.longest, at + 1), 0, -1):
             piece = word[at + 1 - size : at + 1]
-            if size == 1 or piece in vocab:
-                left = last[at + 1 - size]
-                ok = stable.get((left, piece))
-                if ok if ok is not None else self.stable(left, piece):
-                    last.append(piece)
-                    return
+            right = get(piece, -2)
+            if right >= 0:
+                left = ids[at + 1 - size]
+                if left == -2:
+                    left = -1
+                ok = known((left + 1) * n + right)
+                if not (ok if ok is not None else self.stable(left, right)):
+                    continue
+            elif size > 1:
+                continue
+            last.append(piece)
+            ids.append(right)
+            return
         raise AssertionError("every prefix has an encoding")
 
     def _extend_unigram(self, word: str, at: int, last: list[str], best: list[float]) -> None:
@@ -158,14 +167,14 @@ class Model:
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of marked words, in the order given. Depth-first through the trie of the sorted words."""
         out: dict[str, list[int]] = {}
-        last, best, before = [""], [0.0], ""
+        last, best, ids_of, before = [""], [0.0], [-1], ""
         bpe = self.kind == BPE
         for word in sorted(set(words)):
             shared = len(commonprefix((before, word)))
-            del last[shared + 1 :], best[shared + 1 :]
+            del last[shared + 1 :], best[shared + 1 :], ids_of[shared + 1 :]
             for at in range(shared, len(word)):
                 if bpe:
-                    self._extend_bpe(word, at, last)
+                    self._extend_bpe(word, at, last, ids_of)
                 else:
                     self._extend_unigram(word, at, last, best)
             path, at = [], len(word)
@@ -189,7 +198,7 @@ class Model:
 class PieceEncoder(UnitEncoder):
     """Marked words of whole texts. Spaces stand for the marks until a word is encoded."""
 
-    max_units = 500_000
+    max_units = 1_000_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -226,7 +235,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PieceEncoder.of(path)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", NUMPY_BYTES):
             texts = batch.column("text").to_pylist()
             ids, counts = coder.encode(texts)
             ends = np.concatenate([[0], np.cumsum(counts)])

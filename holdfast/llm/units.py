@@ -25,6 +25,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
+def release() -> None:
+    """Free the tables of this worker; tasks that need the memory for something else call it first."""
+    sys.modules.pop("_holdfast_units", None)
+
+
 class UnitEncoder:
     """Subclasses say how a text becomes bytes, where units lie in them, and what the ids of new units are."""
 

@@ -8,7 +8,8 @@ search in the directory, a range read of one block, a binary search in it, and a
 record. The directory is bounded: blocks grow with the input so that it stays under MAX_DIRECTORY rows.
 
 Defined cases: null html is an empty payload; a null url has the empty key; equal urls are told apart
-by page_id; repeated rows with the largest page_id are all responses; an empty table gives no archive
+by page_id; repeated rows with the largest page_id are all responses, and each keeps a row, though the
+index finds one capture for all; a null page_id is a capture of its own kind; an empty table gives no archive
 and no rows; other columns of the input are ignored.
 """
 
@@ -76,8 +77,14 @@ def parse(member: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return warc, fields(http), payload
 
 
-def _page(urn: str) -> int:
-    return int(urn.strip("<>").rpartition(":")[2])
+def _page(urn: str) -> int | None:
+    name = urn.strip("<>").rpartition(":")[2]
+    return None if name == "None" else int(name)
+
+
+def _mark(key: str, page: int | None) -> tuple[bytes, bool, int]:
+    """Sorts like the index does: by key, then by page_id with nulls first."""
+    return key.encode("utf-8", "surrogatepass"), page is not None, page or 0
 
 
 def write(pages: DataFrame, scratch: Scratch) -> DataFrame:
@@ -144,8 +151,8 @@ def lookup(wanted: DataFrame, directory: DataFrame, scratch: Scratch) -> DataFra
     Keys come in ranges, so that a task reads neighbouring blocks, each of them once.
     """
     # bounded by MAX_DIRECTORY rows, whatever the input
-    rows = sorted((r["key"].encode(), r["page_id"], r["file"], r["offset"], r["length"]) for r in directory.collect())
-    sent = directory.sparkSession.sparkContext.broadcast(([r[:2] for r in rows], [r[2:] for r in rows]))
+    rows = sorted((_mark(r["key"], r["page_id"]), r["file"], r["offset"], r["length"]) for r in directory.collect())
+    sent = directory.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1:] for r in rows]))
     folder = scratch.path("index")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,13 +162,13 @@ def lookup(wanted: DataFrame, directory: DataFrame, scratch: Scratch) -> DataFra
             for batch in batches:
                 found = []
                 for key, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    mark = (key.encode(), page)
+                    mark = _mark(key, page)
                     block = bisect.bisect_right(heads, mark) - 1
                     if block < 0:
                         continue
                     if block != at:
                         at, lines = block, [json.loads(x) for x in zlib.decompress(files.read(*places[block])).decode().split("\n")]
-                        marks = [(x[0].encode(), x[1]) for x in lines]
+                        marks = [_mark(x[0], x[1]) for x in lines]
                     i = bisect.bisect_left(marks, mark)
                     if i < len(marks) and marks[i] == mark:
                         found.append(lines[i][1:5])
