@@ -135,16 +135,17 @@ def test_encode_and_decode(odd, nothing):
 
 
 def test_warc_round_trip(spark, scratch):
-    pages = [(1, "http://a.b/x", "q"), (2, None, "q"), (3, "http://a.b/x", None), (4, "é://u@h.é:81?x", "q"), (5, "http://a.b/x", ""), (6, "http://a.b/y", "é" * 70_000), (6, "http://a.b/y", "é" * 70_000)]
+    pages = [(1, "http://a.b/x", "q"), (2, None, "q"), (3, "http://a.b/x", None), (4, "é://u@h.é:81?x", "q"), (5, "http://a.b/x", ""), (6, "http://a.b/y", "é" * 70_000), (6, "http://a.b/y", "é" * 70_000), (None, "http://a.b/x", "null id")]
     df = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, digest string")
     got = {r["page_id"]: r for r in warc.archive(df, scratch).collect()}
     first = defaultdict(int)
     for i, _, h in pages:
-        first[h or ""] = max(first[h or ""], i)
+        first[h or ""] = max(first[h or ""], i or 0) or None
     for i, _, h in pages:
         raw = (h or "").encode()
         want = (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if first[h or ""] == i else "revisit", None if first[h or ""] == i else first[h or ""])
         assert tuple(got[i][c] for c in ("payload_bytes", "payload_digest", "record_type", "refers_to")) == want
+    assert len(got) == 7
     assert warc.archive(df.limit(0), Scratch(spark, "test")).count() == 0
 
 
