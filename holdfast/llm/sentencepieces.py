@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from holdfast.llm.common import NUMPY_BYTES, slices, table
+from holdfast.llm.common import slices, table
 from holdfast.llm.units import UnitEncoder
 
 MARK = "▁"
@@ -198,7 +198,8 @@ class Model:
 class PieceEncoder(UnitEncoder):
     """Marked words of whole texts. Spaces stand for the marks until a word is encoded."""
 
-    max_units = 1_000_000
+    max_units = 800_000
+    slice_bytes = 1 << 20
 
     def __init__(self, path: str):
         super().__init__()
@@ -235,7 +236,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PieceEncoder.of(path)
-        for batch in slices(batches, "text", NUMPY_BYTES):
+        for batch in slices(batches, "text", coder.slice_bytes):
             texts = batch.column("text").to_pylist()
             ids, counts = coder.encode(texts)
             ends = np.concatenate([[0], np.cumsum(counts)])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import NUMPY_BYTES, Scratch, slices, table
+from holdfast.llm.common import Scratch, slices, table
 from holdfast.llm.files import Writer, reading
 from holdfast.llm.units import UnitEncoder
 
@@ -131,7 +131,7 @@ def count(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, sums = WordEncoder.of(path), np.zeros(1 << 16, np.int64)
-        for batch in slices(batches, "text", NUMPY_BYTES):
+        for batch in slices(batches, "text", coder.slice_bytes):
             found = np.bincount(coder.encode(batch.column("text").to_pylist(), END_ID)[0], minlength=1 << 16)
             if len(found) > len(sums):
                 sums = np.pad(sums, (0, len(found) - len(sums)))
@@ -159,7 +159,7 @@ def write(docs: DataFrame, path: str, order: np.ndarray, scratch: Scratch) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, ranks = WordEncoder.of(path), sent.value
         out, first, total = None, None, 0
-        for batch in slices(batches, "text", NUMPY_BYTES):
+        for batch in slices(batches, "text", coder.slice_bytes):
             ids = batch.column("doc_id")
             if out is None:
                 out, first = Writer(folder, "part", ".ids"), ids.slice(0, 1)

@@ -33,19 +33,39 @@ def release() -> None:
 class UnitEncoder:
     """Subclasses say how a text becomes bytes, where units lie in them, and what the ids of new units are."""
 
-    #: Distinct units that a worker remembers at most; then it starts anew.
-    max_units = 2_000_000
+    #: Distinct units that a worker remembers at most; then it forgets those that it met only once.
+    max_units = 1_500_000
+    #: Bytes of text to encode at once: more is faster, as each slice updates the table, and takes more memory.
+    slice_bytes = 2 << 20
 
     def __init__(self):
         self.powers = _powers(1 << 16)
-        self.reset()
+        self.clear()
 
-    def reset(self) -> None:
+    def clear(self) -> None:
         self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 16, np.int64)
+        self.hits = np.zeros(1 << 16, np.uint16)
         self.used = 0
 
+    def shrink(self) -> None:
+        """Forget all units but those met in two slices or more; at most half of the bound stays."""
+        n = len(self.keys)
+        hits = self.hits[:n]
+        keep = np.nonzero(hits >= 2)[0]
+        if len(keep) > self.max_units // 2:
+            keep = np.sort(keep[np.argsort(-hits[keep].astype(np.int32), kind="stable")[: self.max_units // 2]])
+        begin = np.concatenate([np.zeros(1, np.int64), self.ends[:n]])[:-1]
+        sizes = (self.ends[:n] - begin)[keep]
+        before = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        ids = self.ids[np.repeat(begin[keep] - before[:-1], sizes) + np.arange(before[-1])]
+        number = np.full(n, -1, np.int32)
+        number[keep] = np.arange(len(keep), dtype=np.int32)
+        moved = number[self.numbers]
+        self.keys, self.numbers = self.keys[moved >= 0], moved[moved >= 0]
+        self.ids, self.ends, self.hits, self.used = ids, before[1:].copy(), hits[keep] >> 1, len(ids)
+
     @classmethod
     def of(cls, path: str) -> UnitEncoder:
         """The encoder that this worker keeps for a model file."""
@@ -70,21 +90,19 @@ class UnitEncoder:
         raise NotImplementedError
 
     def _learn(self, keys: np.ndarray, units: list[str]) -> None:
+        """Number new units on, in the order given, which is that of their keys."""
         lists = self.encode_units(units)
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
         first = len(self.keys)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while first + len(units) > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        grown = lambda x, n: x if n <= len(x) else np.concatenate([x, np.zeros(max(n, len(x) * 3 // 2) - len(x), x.dtype)])
+        self.ids, self.ends, self.hits = grown(self.ids, self.used + len(flat)), grown(self.ends, first + len(units)), grown(self.hits, first + len(units))
         self.ids[self.used : self.used + len(flat)] = flat
         self.ends[first : first + len(units)] = self.used + np.cumsum(sizes)
         self.used += len(flat)
-        order = np.argsort(keys)
-        at = np.searchsorted(self.keys, keys[order])
-        self.numbers = np.insert(self.numbers, at, (first + order).astype(np.int32))
-        self.keys = np.insert(self.keys, at, keys[order])
+        at = np.searchsorted(self.keys, keys)
+        self.numbers = np.insert(self.numbers, at, np.arange(first, first + len(units), dtype=np.int32))
+        self.keys = np.insert(self.keys, at, keys)
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many of them each text has (with `end` behind each, if given)."""
@@ -100,21 +118,26 @@ class UnitEncoder:
         keys ^= (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         codes, distinct = pd.factorize(keys)
         if len(self.keys) + len(distinct) > self.max_units:
-            self.reset()
-        at = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
-        new = np.nonzero(self.keys[at] != distinct)[0] if len(self.keys) else np.arange(len(distinct))
+            self.shrink()
+        # sorted keys are looked up with near accesses only
+        order = np.argsort(distinct)
+        wanted = distinct[order]
+        at = np.minimum(np.searchsorted(self.keys, wanted), max(0, len(self.keys) - 1))
+        known = self.keys[at] == wanted if len(self.keys) else np.zeros(len(wanted), bool)
+        place = np.zeros(len(distinct), np.int32)
+        place[order[known]] = self.numbers[at[known]]
+        new = order[~known]
         if len(new):
-            first = np.full(len(distinct), len(keys))
-            np.minimum.at(first, codes, np.arange(len(codes)))
+            place[new] = len(self.keys) + np.arange(len(new), dtype=np.int32)
+            first = np.zeros(len(distinct), np.int64)
+            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)  # the last one written is the first place
             blob = data.tobytes()
-            self._learn(distinct[new], [blob[a:b].decode() for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist(), strict=True)])
-        place = self.numbers[np.searchsorted(self.keys, distinct)]
-        ends = self.ends[: len(self.keys)]
-        begin = np.concatenate([np.zeros(1, np.int64), ends])[:-1]
-        unit = place[codes]
-        sizes = (ends - begin)[unit]
+            self._learn(wanted[~known], [blob[a:b].decode() for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist(), strict=True)])
+        self.hits[place] += self.hits[place] < 65535
+        low, high = np.where(place > 0, self.ends[place - 1], 0), self.ends[place]
+        sizes = (high - low)[codes]
         before = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
-        ids = self.ids[np.repeat(begin[unit] - before[:-1], sizes) + np.arange(before[-1])]
+        ids = self.ids[np.repeat(low[codes] - before[:-1], sizes) + np.arange(before[-1])]
         upto = before[np.searchsorted(start, bounds)]
         counts = np.diff(np.concatenate([np.zeros(1, np.int64), upto]))
         if end is None:

@@ -456,12 +456,16 @@ def test_words_equal_the_library(documents):
             assert ids[a:b].tolist() == lib.encode(t or "", add_special_tokens=False).ids
 
 
-def test_unit_table_starts_anew(documents, monkeypatch):
+def test_unit_table_forgets(documents):
     own = tokenids.WordEncoder(path("word_bpe_49k.json"))
-    want = [own.encode([t])[0].tolist() for t in documents["text"][:40]]
-    own.max_units = 300
-    own.reset()
-    assert [own.encode([t])[0].tolist() for t in documents["text"][:40]] == want
+    texts = documents["text"].tolist()
+    want = [own.encode([t])[0].tolist() for t in texts]
+    all_units = len(own.keys)
+    for bound in (1, 300, 3000):
+        own.max_units = bound
+        own.clear()
+        assert [own.encode([t])[0].tolist() for t in texts] == want
+        assert len(own.keys) < all_units and (np.diff(own.keys.astype(object)) > 0).all()
 
 
 def test_token_files(odd, nothing, scratch, spark):
