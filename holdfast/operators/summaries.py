@@ -88,7 +88,10 @@ def scope_summary(c: Catalog, scope: str) -> DataFrame:
         F.count_if(F.col("presence") == "present").alias("present_files"), F.count_if(F.col("presence") == "missing").alias("missing_files"), F.count_if(F.col("presence") == "unknown").alias("unknown_files"),
         p.total(good).alias("verified_present_files"), F.count_if(F.col("integrity") == "damaged").alias("damaged_files"),
     )
-    return a.join(b, "scope", "left").na.fill(0)
+    # rows of both kinds are added up: no join, even of single rows
+    names = [c for c in (*a.columns, *b.columns) if c != "scope"]
+    whole = lambda d: d.select("scope", *[F.col(n) if n in d.columns else F.lit(0).cast("long").alias(n) for n in dict.fromkeys(names)])
+    return whole(a).unionByName(whole(b)).groupBy("scope").agg(*[F.sum(n).alias(n) for n in dict.fromkeys(names)])
 
 
 def site_devices(c: Catalog) -> DataFrame:
