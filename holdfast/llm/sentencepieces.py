@@ -198,8 +198,8 @@ class Model:
 class PieceEncoder(UnitEncoder):
     """Marked words of whole texts. Spaces stand for the marks until a word is encoded."""
 
-    max_units = 800_000
-    slice_bytes = 1 << 20
+    max_units = 600_000
+    slice_bytes = 1 << 19
 
     def __init__(self, path: str):
         super().__init__()
