@@ -35,19 +35,28 @@ THRESHOLD = 0.9
 WINDOW = 64
 #: Chance that a pair exactly at the threshold is compared in some pass.
 RECALL = 0.995
-MAX_PASSES = 64
 BITS = 62
 BLOCK = 1024
+#: Longer runs are compared by blocks, in many tasks.
+LIMIT = 8 * BLOCK
+#: Hashing and moving a row costs as much as comparing so many pairs.
+ROW_COST = 512
+#: Rows that are multiplied at once with those before them.
+TILE = 256
 SEED = 11
 #: Rows of a batch that are hashed or compared at once.
 STEP = 4096
 
 
-def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
-    """A pair shares one bit with chance 1 - angle / pi, and must share about log2(n / window) of them to be in reach."""
-    bits = max(1.0, math.log2(max(2, n) / window))
+def bits_for(n: int, window: int = WINDOW) -> int:
+    """Runs of evenly spread vectors hold about one or two windows."""
+    return max(1, min(BITS, int(math.log2(max(2, n) / window)) if n > window else 1))
+
+
+def passes_for(bits: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """A pair shares one bit with chance 1 - angle / pi, whatever the other vectors are, and a run if it shares all."""
     met = (1 - math.acos(threshold) / math.pi) ** bits
-    return min(MAX_PASSES, max(4, math.ceil(math.log(1 - recall) / math.log(1 - met))))
+    return max(4, math.ceil(math.log1p(-recall) / math.log1p(-met)))
 
 
 def directions(width: int, number: int) -> np.ndarray:
@@ -80,9 +89,10 @@ def _classes(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     return rows.select("vec_id", F.coalesce("digest", F.concat(F.lit("-"), F.rand(SEED).cast("string"))).alias("digest")), groups
 
 
-def _edges(classes: DataFrame, number: int, threshold: float, window: int) -> DataFrame:
-    """Pairs (a, b) that connect, within each pass and task, what its windows have verified."""
+def _keys(classes: DataFrame, number: int, vectors: bool = True) -> DataFrame:
+    """pass, key, rep, width and, if asked for, v of every class in every pass."""
     kind = classes.schema["rep"].dataType.simpleString()
+    names = ["pass", "key", "rep", "width"] + ["v"] * vectors
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,52 +105,127 @@ def _edges(classes: DataFrame, number: int, threshold: float, window: int) -> Da
                     for k in range(number):
                         bits = rows @ directions(width, k) > 0
                         key = bits.astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), pa.array(key), own.column("rep"), own.column("width"), own.column("v")], ["pass", "key", "rep", "width", "v"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), pa.array(key)] + [own.column(n) for n in names[2:]], names)
+
+    return classes.select("rep", "width", "v").mapInArrow(spread, f"pass int, key long, rep {kind}, width int" + ", v binary" * vectors)
+
+
+def bits_of(classes: DataFrame, n: int, threshold: float, window: int, recall: float = RECALL) -> int:
+    """How many bits a run shares: the count that costs least by the runs of the first pass; the recall is the same for all."""
+    least = bits_for(n, window)
+    if n <= LIMIT:
+        return least
+    tried = list(range(least, BITS + 1, 4))
+    runs = _keys(classes, 1, False).select("width", "key", F.explode(F.array(*map(F.lit, tried))).alias("bits"))
+    runs = runs.groupBy("width", "bits", F.expr(f"key div cast(pow(2, {BITS} - bits) as long)").alias("prefix")).count()
+    pairs = {r["bits"]: r["pairs"] for r in runs.groupBy("bits").agg(F.sum(F.col("count") * F.col("count").cast("double")).alias("pairs")).collect()}
+    return min(tried, key=lambda b: (passes_for(b, threshold, recall) * (pairs[b] + n * ROW_COST), b))
+
+
+def _edges(classes: DataFrame, number: int, bits: int, threshold: float, window: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) that connect, within each pass and task, what its runs and windows have verified."""
+    kind = classes.schema["rep"].dataType.simpleString()
+    shift = BITS - bits
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None  # the window at the end of what came before
+        held: pa.RecordBatch | None = None  # the run and the window at the end of what came before
         for batch in batches:
             for start in range(0, batch.num_rows, STEP):
                 part = batch.slice(start, STEP)
                 both = part if held is None else pa.concat_batches([held, part])
-                yield _window(both, 0 if held is None else held.num_rows, threshold, window)
-                held = both.slice(max(0, both.num_rows - window))
-
-    keys = classes.select("rep", "width", "v").mapInArrow(spread, f"pass int, key long, rep {kind}, width int, v binary")
-    ordered = keys.repartitionByRange("pass", "width", "key", "rep").sortWithinPartitions("pass", "width", "key", "rep")
-    return ordered.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+                edges, last = _linked(both, 0 if held is None else held.num_rows, threshold, window, shift)
+                yield edges
+                if both.num_rows - last > LIMIT:  # the whole run is compared by blocks
+                    end = both.slice(both.num_rows - 1)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, edges.column("a").type)] * 2 + [end.column(n).cast(pa.int64()) for n in ("pass", "width")] + [pa.array([end.column("key")[0].as_py() >> shift], pa.int64())], edges.schema.names)
+                    last = both.num_rows
+                held = both.slice(max(0, min(last, both.num_rows - window)))
+
+    keys = _keys(classes, number).withColumn("prefix", F.shiftright("key", shift))
+    # rows of a run are in one task
+    ordered = keys.repartitionByRange("pass", "width", "prefix").sortWithinPartitions("pass", "width", "key", "rep")
+    found = scratch.save(ordered.mapInArrow(compare, f"a {kind}, b {kind}, pass long, width long, prefix long"), "found")
+    edges = found.filter("a is not null").select("a", "b")
+    long = scratch.save(found.filter("a is null").select(F.col("pass").cast("int").alias("pass"), F.col("width").cast("int").alias("width"), "prefix").distinct(), "long")
+    if long.limit(1).count():
+        edges = edges.unionByName(_long(keys, long, scratch, threshold, kind))
+    return edges.distinct()
+
+
+def _long(keys: DataFrame, long: DataFrame, scratch: Scratch, threshold: float, kind: str) -> DataFrame:
+    """Links inside runs of more than LIMIT rows, every block against every block."""
+    run = ["pass", "width", "prefix"]
+    rows = scratch.save(keys.join(long, run).select(*run, "rep", "v"), "long_rows")
+    sizes = rows.groupBy(*run).agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).cast("int").alias("blocks"))
+    own = rows.join(sizes, run).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(*run, "rep", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
-
-def _window(batch: pa.RecordBatch, old: int, threshold: float, window: int) -> pa.RecordBatch:
-    """Links of the rows from `old` on with up to `window` rows before them, reduced to a spanning forest."""
-    numbers, widths = batch.column("pass").to_numpy(), batch.column("width").to_numpy()
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        a = group[group["own"] == group["i"].iloc[0]] if len(group) else group
+        b = group[group["own"] == group["j"].iloc[0]] if len(group) else group
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": group["rep"][:0], "b": group["rep"][:0]})
+        at, to = np.nonzero(matrix(a["v"].tolist()) @ matrix(b["v"].tolist()).T >= threshold)
+        ids = pd.concat([a["rep"], b["rep"]]).tolist()
+        same = group["i"].iloc[0] == group["j"].iloc[0]
+        pairs = _forest(len(ids), at, to + (0 if same else len(a)))
+        return pd.DataFrame({"a": pd.Series([ids[x] for x, _ in pairs], dtype=group["rep"].dtype), "b": pd.Series([ids[y] for _, y in pairs], dtype=group["rep"].dtype)})
+
+    return dealt.groupBy(*run, "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
+
+
+def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs."""
+    found, label = connected(n, left, right)
+    return [(int(first), int(i)) for first, i in zip(found[label], range(n), strict=True) if first != i]
+
+
+def connected(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each component, and the component of each place, by repeated minima of neighbours."""
+    root = np.arange(n)
+    while len(left):
+        low = np.minimum(root[left], root[right])
+        before = root.copy()
+        np.minimum.at(root, before[left], low)
+        np.minimum.at(root, before[right], low)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            break
+    first, label = np.unique(root, return_inverse=True)
+    return first, label
+
+
+def _linked(batch: pa.RecordBatch, old: int, threshold: float, window: int, shift: int) -> tuple[pa.RecordBatch, int]:
+    """Links of the rows from `old` on with those of their run and window before them, as a spanning forest; and where the last run starts."""
+    numbers, widths, keys = (batch.column(n).to_numpy() for n in ("pass", "width", "key"))
+    n = batch.num_rows
+    new_part = np.r_[True, (numbers[1:] != numbers[:-1]) | (widths[1:] != widths[:-1])]
+    new_run = new_part | np.r_[True, (keys[1:] >> shift) != (keys[:-1] >> shift)]
+    at = np.arange(n)
+    part, run = (np.maximum.accumulate(np.where(x, at, 0)) for x in (new_part, new_run))
+    least = np.minimum(run, np.maximum(part, at - window))
+    vectors = batch.column("v")
     left, right = [], []
-    for width in np.unique(widths).tolist():
-        mine = np.nonzero(widths == width)[0]
-        rows = matrix(batch.column("v").take(pa.array(mine)).to_pylist())
-        for step in range(1, min(window, len(mine) - 1) + 1):
-            near = (rows[step:] * rows[:-step]).sum(axis=1) >= threshold
-            near &= (numbers[mine[step:]] == numbers[mine[:-step]]) & (mine[step:] >= old)
-            at = np.nonzero(near)[0]
-            left.append(mine[at])
-            right.append(mine[at + step])
-    root = list(range(batch.num_rows))
-    ids = batch.column("rep").to_pylist()
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    pairs = []
-    for i, j in zip(np.concatenate(left).tolist() if left else [], np.concatenate(right).tolist() if right else [], strict=True):
-        x, y = find(i), find(j)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            pairs.append((ids[i], ids[j]))
-    kind = batch.schema.field("rep").type
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind)], ["a", "b"])
+    for begin in np.nonzero(new_part)[0].tolist():
+        end = int(np.searchsorted(part, begin, "right"))
+        if end <= old:
+            continue
+        rows = matrix(vectors.slice(begin, end - begin).to_pylist())
+        for start in range(max(begin, old), end, TILE):
+            stop = min(end, start + TILE)
+            low = int(least[start:stop].min())
+            near = rows[start - begin : stop - begin] @ rows[low - begin : stop - begin].T >= threshold
+            i, j = np.nonzero(near)
+            i, j = i + start, j + low
+            mine = (j < i) & (j >= least[i])
+            left.append(j[mine])
+            right.append(i[mine])
+    pairs = _forest(n, np.concatenate(left), np.concatenate(right)) if left else []
+    ids, kind = batch.column("rep"), batch.schema.field("rep").type
+    sides = [ids.take(pa.array([p[k] for p in pairs], pa.int64())) if pairs else pa.array([], kind) for k in (0, 1)]
+    none = pa.nulls(len(pairs), pa.int64())
+    return pa.RecordBatch.from_arrays([*sides, none, none, none], ["a", "b", "pass", "width", "prefix"]), int(run[-1]) if n else 0
 
 
 def _counts(members: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
@@ -188,8 +273,9 @@ def _counts(members: DataFrame, scratch: Scratch, threshold: float) -> DataFrame
 def link(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, window: int = WINDOW, passes: int | None = None) -> DataFrame:
     """vectors (vec_id, embedding) -> vec_id, n_links, component_id, kept."""
     rows, classes = _classes(vectors, scratch)
-    number = passes or passes_for(classes.count(), threshold, window)
-    edges = scratch.save(_edges(classes, number, threshold, window), "edges")
+    bits = bits_of(classes, classes.count(), threshold, window)
+    edges = scratch.save(_edges(classes, passes or passes_for(bits, threshold), bits, threshold, window, scratch), "edges")
+    scratch.drop("found", "long", "long_rows")
     comp = components(edges, scratch)
     tops = comp.select(F.col("component").alias("rep")).distinct()
     groups = comp.select(F.col("node").alias("rep"), F.col("component").alias("c")).unionByName(tops.select("rep", F.col("rep").alias("c")))

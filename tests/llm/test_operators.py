@@ -239,6 +239,40 @@ def test_neardup_recall_at_the_threshold(spark, scratch):
     assert found >= 0.95 * 1200
 
 
+def crowded(rng, pairs, hot, other):
+    """Pairs just over the threshold among vectors around one direction, pairwise cosine about 0.7, and others."""
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centre = unit(rng.standard_normal((1, 64)))
+    around = unit(math.sqrt(0.7) * centre + math.sqrt(0.3) * unit(rng.standard_normal((hot + pairs, 64))))
+    a = around[:pairs]
+    side = rng.standard_normal(a.shape)
+    side = unit(side - (side * a).sum(1, keepdims=True) * a)
+    return np.concatenate([a, 0.901 * a + math.sqrt(1 - 0.901**2) * side, around[pairs:], rng.standard_normal((other, 64))])
+
+
+def test_neardup_recall_in_a_crowd(spark, scratch):
+    x = crowded(np.random.default_rng(3), 300, 4000, 8000)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    assert neardup.link(df, scratch).filter("vec_id < 600 and n_links > 0").count() >= 0.99 * 600
+
+
+def test_neardup_long_runs(spark, scratch, monkeypatch):
+    """Runs beyond the limit are compared whole: two passes with one bit find what brute force finds."""
+    for name, value in (("LIMIT", 100), ("BLOCK", 32), ("bits_of", lambda *_: 1)):
+        monkeypatch.setattr(neardup, name, value)
+    x = crowded(np.random.default_rng(4), 60, 400, 800)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    n, c = brute_links(list(range(len(x))), x)
+    got = {r["vec_id"]: r for r in neardup.link(df, scratch, passes=8).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == n.tolist() and [got[i]["component_id"] for i in range(len(x))] == c
+
+
+def test_neardup_passes_are_not_cut():
+    for n in (10, 10**4, 10**7, 10**9):
+        bits = neardup.bits_for(n)
+        assert 1 - (1 - (1 - math.acos(0.9) / math.pi) ** bits) ** neardup.passes_for(bits) >= neardup.RECALL
+
+
 def test_neardup_odd_vectors(spark, scratch):
     rows = [(1, None), (2, [0.0, 0.0]), (3, [math.nan, 1.0]), (4, []), (5, [None, 1.0]), (6, [1.0, 2.0]), (7, [2.0, 4.0]), (7, [2.0, 4.0]), (None, [1.0, 2.0]), (8, [-0.0, 1.0]), (9, [0.0, 1.0]), (10, [1.0, 2.0, 3.0]), (11, [math.inf, 1.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, size int")
