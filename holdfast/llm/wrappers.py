@@ -3,12 +3,13 @@
 A page is read as a stream of tags and texts; block elements, labelled by name, class and id, make its
 skeleton. Pages of a host are aligned one after another into a wrapper, a regular expression without
 unions: an element that only some pages have becomes optional, one that occurs again beside itself
-becomes repeated, labels that come back after others are put into one repeated group, and text becomes
-a slot. A label occurs once among the children of a wrapper node, so a wrapper is bounded by the
-variety of the templates, not by the pages. Wrappers also count the pages and characters of a slot.
+becomes repeated, labels that come back after others are put into one repeated group. Texts are kept as
+hashes: what all pages with the element have (EVIDENCE or more) is a constant of the template, the rest are slots. A label occurs once among the children of a wrapper node, so a wrapper is
+bounded by the variety of the templates, not by the pages. Wrappers also count the pages and characters of a text.
 
-The slots tell which element holds the article: what is marked as an article, else the element in
-which most of the varying text comes together. Menus, adverts and the like are recognised by element,
+The article is what is marked as an article, else the lowest element that all slots are in, without the
+constants inside it. Hosts of fewer pages tell no slots; there it is the element with nearly all of the text that no
+heading or paragraph is beside. Menus, adverts and the like are recognised by element,
 role, or words of class and id, as far as the wrapper does not put the article inside of them.
 
 Wrappers are merged inside each task, then by host and salt, then by host; hosts with many pages send
@@ -19,9 +20,11 @@ very long pages stay whole; repeated rows each keep a row; other columns are ign
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,6 +50,8 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "head": set()}
 #: Hosts whose wrappers a task holds before it passes them on.
 MAX_HOSTS = 2000
+#: Pages that must have a text before it counts as a constant: two may just be copies.
+EVIDENCE = 3
 #: Deeper elements are read as part of the one above them; their text stays.
 MAX_DEPTH = 150
 SALTS = 32
@@ -127,11 +132,17 @@ def parse(page: str) -> Node:
                 stack.append(node)
 
 
+def _own(node: Node) -> str:
+    """A hash of the element's own text, without that of blocks inside; empty if it has none."""
+    text = " ".join(" ".join(k for k in node.kids if isinstance(k, str)).split())
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest() if text else ""
+
+
 def skeleton(node: Node) -> dict:
-    """The wrapper of one page. kids: label -> [wrapper, optional, repeated, group]; group: its label came back after others."""
-    chars = sum(len(k.strip()) for k in node.kids if isinstance(k, str))
-    out = {"n": 1, "chars": chars, "chrome": node.chrome, "article": node.article, "name": node.name, "kids": {}}
-    kids, last = out["kids"], None
+    """The wrapper of one page. kids: label -> [wrapper, optional, repeated, group]; repeated: beside itself; group: it, or one before it, came back after others."""
+    chars, own = sum(len(k.strip()) for k in node.kids if isinstance(k, str)), _own(node)
+    out = {"n": 1, "chars": chars, "texts": [own] if own else [], "slot": False, "chrome": node.chrome, "article": node.article, "name": node.name, "kids": {}}
+    kids, last, times = out["kids"], None, Counter()
     for kid in node.kids:
         if isinstance(kid, str):
             continue
@@ -140,16 +151,25 @@ def skeleton(node: Node) -> dict:
         if held is None:
             kids[kid.label] = [own, False, False, False]
         else:
-            _merge(held[0], own)
-            held[0]["n"] -= own["n"]  # once for each page's parent
-            held[2] = True
-            held[3] |= last != kid.label
+            _merge(held[0], own, True)
+            if last == kid.label:
+                held[2] = True
+            elif not held[3] or not kids[last][3]:
+                labels = list(kids)
+                for label in labels[labels.index(kid.label) :]:
+                    kids[label][3] = True
+        times[kid.label] += last != kid.label
         last = kid.label
+    for label, held in kids.items():
+        held[1] |= held[3] and times[label] < max(times.values())
     return out
 
 
-def _merge(a: dict, b: dict) -> None:
-    """Align b's children with a's and put b into a."""
+def _merge(a: dict, b: dict, page: bool = False) -> None:
+    """Align b's children with a's and put b into a: another page's, or what comes later on the same page.
+
+    Texts of one page are put together; of pages, what all have is constant, and anything else makes a slot.
+    """
     kids = {}
     order, rest = list(a["kids"]), list(b["kids"])
     at = 0
@@ -169,28 +189,53 @@ def _merge(a: dict, b: dict) -> None:
         if other is None:
             held[1] = True
         else:
-            _merge(held[0], other[0])
+            _merge(held[0], other[0], page)
             held[1] |= other[1]
             held[2] |= other[2]
             held[3] |= other[3]
-    a["n"] += b["n"]
+    if page:
+        a["texts"] = sorted({*a["texts"], *b["texts"]})
+    else:
+        a["n"] += b["n"]
+        a["slot"] |= b["slot"] or a["texts"] != b["texts"]
+        a["texts"] = sorted({*a["texts"]} & {*b["texts"]})
     a["chars"] += b["chars"]
     a["kids"] = kids
 
 
+def _varies(wrapper: dict) -> bool:
+    """Whether its own text is a slot: it differs between pages, or too few have it."""
+    return bool(wrapper["chars"]) and (wrapper["slot"] or wrapper["n"] < EVIDENCE)
+
+
 def expression(wrapper: dict, label: str = "") -> str:
-    """The wrapper as a union-free regular expression."""
-    inner = ("#" if wrapper["chars"] else "") + "".join(expression(k, x) + ("*" if o and r else "?" if o else "+" if r else "") for x, (k, o, r, _) in wrapper["kids"].items())
+    """The wrapper as a union-free regular expression; # is a slot, = a constant text."""
+    inner, group = ("#" if _varies(wrapper) else "=" if wrapper["chars"] else ""), False
+    for x, (k, o, r, g) in wrapper["kids"].items():
+        if g != group:
+            inner, group = inner + ("(" if g else ")+"), g
+        inner += expression(k, x) + ("*" if o and r else "?" if o else "+" if r else "")
+    inner += ")+" if group else ""
     return f"(<{label}>{inner}</>)" if label else inner
 
 
-def _mass(wrapper: dict) -> int:
-    """Characters outside of chrome."""
-    return 0 if wrapper["chrome"] else wrapper["chars"] + sum(_mass(k[0]) for k in wrapper["kids"].values())
+def _mass(wrapper: dict, slots: bool = False) -> int:
+    """Characters outside of chrome; of slots only, if asked for."""
+    return 0 if wrapper["chrome"] else (wrapper["chars"] if _varies(wrapper) or not slots else 0) + sum(_mass(k[0], slots) for k in wrapper["kids"].values())
+
+
+def _prose(wrapper: dict) -> bool:
+    """Whether there is a heading or a paragraph with text outside of chrome."""
+    return not wrapper["chrome"] and (bool(re.fullmatch("h[1-6]|p", wrapper["name"])) and _mass(wrapper) > 0 or any(_prose(k[0]) for k in wrapper["kids"].values()))
 
 
 def article_paths(wrapper: dict) -> list[tuple[str, ...]]:
     """Label paths of the elements that hold the article."""
+    return article(wrapper)[0]
+
+
+def article(wrapper: dict) -> tuple[list[tuple[str, ...]], dict[tuple[str, ...], frozenset[str]]]:
+    """Label paths of the elements that hold the article, and by path the texts inside that the template has on every page."""
     marked: dict[tuple[str, ...], int] = {}
 
     def look(at: dict, path: tuple[str, ...]) -> None:
@@ -204,7 +249,7 @@ def article_paths(wrapper: dict) -> list[tuple[str, ...]]:
 
     look(wrapper, ())
     if any(marked.values()):
-        return [p for p, n in marked.items() if n]
+        return [p for p, n in marked.items() if n], {}
     mains: dict[tuple[str, ...], int] = {}
 
     def look_main(at: dict, path: tuple[str, ...]) -> None:
@@ -219,13 +264,31 @@ def article_paths(wrapper: dict) -> list[tuple[str, ...]]:
     path, at = (max(mains, key=mains.get), wrapper) if any(mains.values()) else ((), wrapper)
     for label in path:
         at = at["kids"][label][0]
-    # down to where the text comes together: while one child that occurs once holds nearly all of it
+    slots = _mass(at, True) > 0  # pages that are all the same have none
+    few = wrapper["n"] < EVIDENCE
+
+    def holds_all(at: dict, label: str) -> bool:
+        """All slots are in the child; where too few pages tell slots, nearly all text, and no heading or paragraph is beside it."""
+        total, own = _mass(at, slots), _mass(at["kids"][label][0], slots)
+        return total > 0 and (own == total or few and own > 0.8 * total and not any(_prose(k[0]) for x, k in at["kids"].items() if x != label))
+
     while True:
-        total = _mass(at)
-        step = next((x for x, (k, _, r, _) in at["kids"].items() if not k["chrome"] and not r and k["name"] in ("html", "body", "div", "section", "main", "center", "td", "tr", "table", "tbody") and _mass(k) > 0.8 * total), None)
+        step = next((x for x, (k, _, r, g) in at["kids"].items() if not k["chrome"] and not r and not g and k["name"] in ("html", "body", "div", "section", "main", "center", "td", "tr", "table", "tbody") and holds_all(at, x)), None)
         if step is None:
-            return [path]
+            break
         path, at = path + (step,), at["kids"][step][0]
+    fixed: dict[tuple[str, ...], frozenset[str]] = {}
+
+    def look_fixed(at: dict, path: tuple[str, ...]) -> None:
+        if at["texts"] and at["n"] >= EVIDENCE:
+            fixed[path] = frozenset(at["texts"])
+        for label, (kid, *_) in at["kids"].items():
+            if not kid["chrome"]:
+                look_fixed(kid, path + (label,))
+
+    if slots:
+        look_fixed(at, path)
+    return [path], fixed
 
 
 def _nodes(node: Node, path: tuple[str, ...]) -> Iterator[Node]:
@@ -237,13 +300,15 @@ def _nodes(node: Node, path: tuple[str, ...]) -> Iterator[Node]:
             yield from _nodes(kid, path[1:])
 
 
-def _blocks(node: Node, out: list[list[str]]) -> None:
+def _blocks(node: Node, out: list[list[str]], path: tuple[str, ...] = (), fixed: dict | None = None) -> None:
     out.append([])
+    constant = bool(fixed) and path in fixed and _own(node) in fixed[path]
     for kid in node.kids:
         if isinstance(kid, str):
-            out[-1].append(html.unescape(kid))
+            if not constant:
+                out[-1].append(html.unescape(kid))
         elif not kid.chrome:
-            _blocks(kid, out)
+            _blocks(kid, out, path + (kid.label,) if fixed else (), fixed)
             out.append([])
         elif kid.name == "header" and node.article:
             # the heading of the article itself
@@ -255,10 +320,12 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
             out.append([])
 
 
-def extract(page: str | None, paths: list[tuple[str, ...]] | None) -> str:
+def extract(page: str | None, paths: list[tuple[str, ...]] | None, fixed: dict | None = None) -> str:
     root = parse(page or "")
     found = [n for p in paths or () for n in _nodes(root, p)]
+    start = paths[0] if len(paths or ()) == 1 else ()
     if not found:
+        start, fixed = (), None
         found = [n for p in article_paths(skeleton(root)) for n in _nodes(root, p)]
     elif len(paths) > 1:
         order: dict[int, int] = {}
@@ -273,7 +340,7 @@ def extract(page: str | None, paths: list[tuple[str, ...]] | None) -> str:
         found.sort(key=lambda n: order[id(n)])
     blocks: list[list[str]] = []
     for node in found:
-        _blocks(node, blocks)
+        _blocks(node, blocks, start, fixed)
     texts = (" ".join("".join(b).split()) for b in blocks)
     return "\n".join(t for t in texts if t)
 
@@ -322,15 +389,15 @@ def main_text(pages: DataFrame, scratch: Scratch) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list] = {}
+        known: dict[str, tuple] = {}
         for batch in slices(batches, "html"):
             texts = []
             for name, wrapper, page in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 if name not in known:
                     if len(known) > MAX_HOSTS:
                         known.clear()
-                    known[name] = article_paths(json.loads(wrapper))
-                texts.append(extract(page, known[name]))
+                    known[name] = article(json.loads(wrapper))
+                texts.append(extract(page, *known[name]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.join(wrappers, "host").select("page_id", "url", "html", "host", "wrapper").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -193,6 +193,30 @@ def test_wrapper_is_union_free():
     assert wrappers.expression(a) == "(<div>(<h1>#</>)(<ul>(<li>#</>)+</>)?(<p>#</>)+</>)"
 
 
+def learned(*pages):
+    made = [wrappers.skeleton(wrappers.parse(x)) for x in pages]
+    for other in made[1:]:
+        wrappers._merge(made[0], other)
+    return made[0]
+
+
+def test_slots_and_constants_without_article_marks():
+    page = "<html><body><div class=top>The Daily Site</div><h1>{0} head</h1><p>{0} lead</p><div class=post><p>" + "{0} body " * 40 + "</p><p>Read more on our site</p></div><div class=base>All rights kept</div></body></html>"
+    pages = [page.format(x) for x in ("one", "two", "three")]
+    found = wrappers.article(learned(*pages))
+    for x, p in zip(("one", "two", "three"), pages, strict=True):
+        assert wrappers.extract(p, *found) == f"{x} head\n{x} lead\n{(f'{x} body ' * 40).strip()}"
+    alone = wrappers.article(learned(pages[0]))
+    assert "one head\none lead\none body" in wrappers.extract(pages[0], *alone)
+    same = wrappers.article(learned(*pages[:1] * 3))
+    assert wrappers.extract(pages[0], *same).startswith("The Daily Site\none head\none lead")
+
+
+def test_wrapper_has_constants_and_groups():
+    wrapper = learned("<div>by</div><dl><dt>a<dd>1<dd>2<dt>b<dd>3</dl>", "<div>by</div><dl><dt>c<dd>4<dt>d<dd>5</dl>", "<div>by</div><dl><dt>e<dd>6</dl>")
+    assert wrappers.expression(wrapper) == "(<div>=</>)(<dl>((<dt>#</>)(<dd>#</>)+)+</>)"
+
+
 # 4
 
 
