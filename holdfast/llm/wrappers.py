@@ -52,7 +52,7 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 MAX_HOSTS = 2000
 #: Pages that must have a text before it counts as a constant: two may just be copies.
 EVIDENCE = 3
-#: Deeper elements are read as part of the one above them; their text stays.
+#: Deeper elements are opened and closed as others, but what is in them is read as part of the one above, except for chrome and articles.
 MAX_DEPTH = 150
 SALTS = 32
 
@@ -91,6 +91,15 @@ def parse(page: str) -> Node:
     """Block elements and the text between them; inline elements leave their text where it is."""
     root = Node("", "", False, False)
     stack, at = [root], 0
+    opened: Counter = Counter()
+
+    def close(i: int) -> None:
+        for node in stack[i:]:
+            opened[node.name] -= 1
+        if len(stack) > MAX_DEPTH and i > 0 and stack[-1].kids is stack[i - 1].kids:
+            stack[i - 1].kids.append(Node(stack[i].name, stack[i].label, False, False))  # what follows is a block of its own
+        del stack[i:]
+
     while True:
         found = _TOKEN.search(page, at)
         text = page[at : found.start() if found else len(page)]
@@ -103,10 +112,10 @@ def parse(page: str) -> Node:
         if not name:
             continue
         if end:
-            if name in BLOCKS:
+            if name in BLOCKS and opened[name]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].name == name:
-                        del stack[i:]
+                        close(i)
                         break
         elif name in RAW:
             stop = re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I).search(page, at)
@@ -121,15 +130,23 @@ def parse(page: str) -> Node:
                 for i in range(len(stack) - 1, 0, -1):
                     own = stack[i].name
                     if own == "p" or name in CLOSED_BY.get(own, ()):
-                        del stack[i:]
+                        close(i)
                         closing = True
                         break
                     if own in SCOPES.get(name, ()) or own not in CLOSED_BY and own not in ("tbody", "thead", "tfoot"):
                         break
             node = _open(name, found[3])
             stack[-1].kids.append(node)
-            if name not in VOID and len(stack) < MAX_DEPTH:
+            if name not in VOID:
+                if len(stack) >= MAX_DEPTH:
+                    deep = stack[MAX_DEPTH:]
+                    apart = (node.chrome or node.article and not any(x.article for x in deep)) and not any(x.chrome for x in deep)
+                    if not apart:
+                        # open as any other, so that ends match their own starts, but its inside is that of the one above
+                        node = Node(node.name, node.label, False, False)
+                        node.kids = stack[-1].kids
                 stack.append(node)
+                opened[name] += 1
 
 
 def _own(node: Node) -> str:

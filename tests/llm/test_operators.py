@@ -212,6 +212,13 @@ def test_slots_and_constants_without_article_marks():
     assert wrappers.extract(pages[0], *same).startswith("The Daily Site\none head\none lead")
 
 
+def test_deep_pages_lose_nothing():
+    page = "<div id=page><article><p>first</p>" + "<div>" * 200 + "{}" + "</div>" * 200 + "<p>rest</p></article></div><p>outside</p>"
+    for inner, text in (("", ""), ("in", "in\n"), ("a<div>b</div>c", "a\nb\nc\n"), ("a<nav><div>menu</div><nav>more</nav>menu</nav>c", "a\nc\n"), ("<p>x<p>y<ul><li>1<li>2</ul>", "x\ny\n1\n2\n")):
+        assert wrappers.extract(page.format(inner), None) == f"first\n{text}rest"
+    assert wrappers.extract("<div>" * 200 + "<div class=ad><article>bad</article></div><article><p>good</p><nav>menu</nav></article>" + "</div>" * 200, None) == "good"
+
+
 def test_wrapper_has_constants_and_groups():
     wrapper = learned("<div>by</div><dl><dt>a<dd>1<dd>2<dt>b<dd>3</dl>", "<div>by</div><dl><dt>c<dd>4<dt>d<dd>5</dl>", "<div>by</div><dl><dt>e<dd>6</dl>")
     assert wrappers.expression(wrapper) == "(<div>=</>)(<dl>((<dt>#</>)(<dd>#</>)+)+</>)"
