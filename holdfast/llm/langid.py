@@ -24,8 +24,10 @@ from holdfast.llm.units import release
 
 BITS = 16
 ORDERS = (1, 2, 3)
-#: Rows that training reads at most, about; taken evenly by a hash of the id.
+#: Rows that training reads, about; taken by a hash of id and text, half in proportion, half in equal quotas by language.
 MAX_TRAIN = 20_000
+#: Rows of a language that are learned at least, if it has them.
+LEAST = 100
 #: Bytes that the broadcast matrix may have: 2 ** BITS rows of 4 bytes for each language.
 MAX_MATRIX = 256 << 20
 ALPHA = 0.1
@@ -60,15 +62,12 @@ def _counter(index: dict[str, int]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         sums = np.zeros((len(index), 1 << BITS), np.int64)
-        docs = np.zeros(len(index), np.int64)
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                docs[index[lang]] += 1
                 for found in features(text):
                     sums[index[lang]] += np.bincount(found, minlength=1 << BITS)
         row, slot = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(sums[row, slot])], ["row", "slot", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(index), dtype=np.int32)), pa.array(np.full(len(index), -1, np.int32)), pa.array(docs)], ["row", "slot", "n"])
 
     return count
 
@@ -88,16 +87,16 @@ def train(rows: DataFrame, max_rows: int = MAX_TRAIN) -> tuple[list[str], np.nda
     if not langs:
         return langs, matrix, priors
     if total > max_rows:
-        part = int(max_rows / total * 1_000_000)
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part)
+        # half of the rows in proportion, half in equal quotas, so that rare languages are learned at every size
+        quota = max(max_rows / 2 / len(langs), LEAST)
+        parts = {x: int(min(1.0, max(max_rows / 2 / total, quota / n)) * 1_000_000_000) for x, n in sizes.items()}
+        part = F.element_at(F.create_map(*[F.lit(v) for x in langs for v in (x, parts[x])]), F.col("lang"))
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_000)) < part)
     counted = rows.select("text", "lang").mapInArrow(_counter({x: i for i, x in enumerate(langs)}), "row int, slot int, n long")
     sums = np.zeros((len(langs), 1 << BITS))
-    docs = np.ones(len(langs))
+    docs = np.array([1.0 + sizes[x] for x in langs])
     found = counted.groupBy("row", "slot").agg(F.sum("n").alias("n")).toPandas()
-    grams = found[found["slot"] >= 0]
-    sums[grams["row"], grams["slot"]] = grams["n"]
-    heads = found[found["slot"] < 0]
-    docs[heads["row"]] += heads["n"]
+    sums[found["row"], found["slot"]] = found["n"]
     logs = np.log((sums + ALPHA) / (sums.sum(axis=1, keepdims=True) + ALPHA * (1 << BITS)))
     return langs, logs.T.astype(np.float32).copy(), np.log(docs / docs.sum())
 

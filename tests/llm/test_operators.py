@@ -457,6 +457,12 @@ def test_language_chunks_lose_nothing(monkeypatch):
     assert set(whole) == set(parts) and abs(len(whole) - len(parts)) <= 3 * (len(text) // 50 + 1)
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the house and the garden {i}", "en") for i in range(4000)] + [(4000 + i, f"zxq vwk jqz {i}", "rare") for i in range(3)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 100)
+    assert langid.classify("zxq vwk jqz", *model)[0] == "rare" and langid.classify("the garden", *model)[0] == "en"
+
+
 def test_languages_odd(spark, odd, nothing):
     model = langid.train(odd)
     assert model[0] == ["de", "en", "fr"]
