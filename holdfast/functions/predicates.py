@@ -22,14 +22,14 @@ def within(time: str, as_of: int, age: int | None) -> Column:
     return F.col(time).between(max(0, as_of - age), as_of)
 
 
-def policy_age_reason(time: str, days: Column, now: int, label: str) -> Column:
-    """Policy freshness: missing and future times are faults; stale at exactly time + age."""
+def policy_age_faults(time: str, days: Column, now: int) -> dict[str, Column]:
+    """Policy freshness: missing and future times are faults; stale at exactly time + age. At most one of these holds."""
     at = F.col(time)
-    return (
-        F.when(at.isNull(), f"{label}_time_missing")
-        .when(at > now, f"{label}_time_in_future")
-        .when(at + days * DAY_MS <= now, f"{label}_stale")
-    )
+    return {"time_missing": at.isNull(), "time_in_future": at > now, "stale": (at <= now) & (at + days * DAY_MS <= now)}
+
+
+def policy_age_reason(time: str, days: Column, now: int, label: str) -> Column:
+    return F.coalesce(*[F.when(fault, f"{label}_{name}") for name, fault in policy_age_faults(time, days, now).items()])
 
 
 def policy_expiry(time: str, days: Column, now: int) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from holdfast.functions import predicates as p
@@ -71,27 +72,42 @@ def location_totals(c: Catalog, as_of: int, age: int) -> DataFrame:
     return c.locations.select("location_id").join(sums, "location_id", "left").na.fill(0)
 
 
-def scope_summary(c: Catalog, scope: str) -> DataFrame:
-    """Objects and files of a scope (archive, collection_id, location_id, device_id or site), counted apart from each other."""
-    located = c.files.join(_located(c), "location_id")
-    joined = located.join(c.objects.select("object_id", "collection_id", "expected"), "object_id")
-    if scope == "archive":
-        objects, files = c.objects.withColumn("scope", F.lit("archive")), joined.withColumn("scope", F.lit("archive"))
-    elif scope == "collection_id":
-        objects, files = c.objects.withColumn("scope", F.col(scope)), joined.withColumn("scope", F.col(scope))
-    else:
-        files = joined.filter(F.col(scope).isNotNull()).withColumn("scope", F.col(scope))
-        objects = files.select("scope", "object_id", "expected").distinct()
-    good = (F.col("presence") == "present") & (F.col("integrity") == "verified") & (F.col("last_check_result") == "ok") & F.col("last_success_ms").isNotNull() & (F.col("observed") == F.col("expected"))
-    a = objects.groupBy("scope").agg(F.count(F.lit(1)).alias("objects"), F.count_if(F.col("expected").isNull()).alias("unresolved_objects"))
-    b = files.groupBy("scope").agg(
-        F.count_if(F.col("presence") == "present").alias("present_files"), F.count_if(F.col("presence") == "missing").alias("missing_files"), F.count_if(F.col("presence") == "unknown").alias("unknown_files"),
-        p.total(good).alias("verified_present_files"), F.count_if(F.col("integrity") == "damaged").alias("damaged_files"),
+SCOPES = ("archive", "collection_id", "location_id", "device_id", "site")
+FILE_COUNTS = ("present_files", "missing_files", "unknown_files", "verified_present_files", "damaged_files")
+
+
+def scope_summaries(c: Catalog, scopes: tuple[str, ...] = SCOPES) -> DataFrame:
+    """kind, scope, and its objects and files, counted apart from each other. The archive and collections count objects without files too.
+
+    Files meet their objects once, and are then summed by place and collection. Of an object's files on one
+    device, or at one site, the first counts the object there, so nothing has to be made distinct.
+    """
+    joined = c.files.join(c.objects.select("object_id", "collection_id", "expected"), "object_id").join(_located(c), "location_id")
+    first = lambda x: F.row_number().over(W.partitionBy("object_id", x).orderBy("location_id")) == 1
+    conditions = (F.col("presence") == "present", F.col("presence") == "missing", F.col("presence") == "unknown", p.verified_copy(), F.col("integrity") == "damaged")
+    marked = joined.select(
+        "location_id", "device_id", "site", "collection_id", F.col("expected").isNull().alias("unresolved"), first("device_id").alias("on_device"), first("site").alias("at_site"),
+        *[F.coalesce(x, F.lit(False)).alias(n) for n, x in zip(FILE_COUNTS, conditions, strict=True)],
     )
-    # rows of both kinds are added up: no join, even of single rows
-    names = [c for c in (*a.columns, *b.columns) if c != "scope"]
-    whole = lambda d: d.select("scope", *[F.col(n) if n in d.columns else F.lit(0).cast("long").alias(n) for n in dict.fromkeys(names)])
-    return whole(a).unionByName(whole(b)).groupBy("scope").agg(*[F.sum(n).alias(n) for n in dict.fromkeys(names)])
+    counted = {"location_id": F.lit(True), "device_id": F.col("on_device"), "site": F.col("at_site")}
+    sums = [x for k, v in counted.items() for x in (F.count_if(v).alias(f"{k}_objects"), F.count_if(v & F.col("unresolved")).alias(f"{k}_unresolved"))]
+    places = marked.groupBy("location_id", "device_id", "site", "collection_id").agg(*sums, *[F.count_if(F.col(n)).alias(n) for n in FILE_COUNTS])
+    zero = F.lit(0).cast("long")
+    row = lambda kind, scope, objects, unresolved, counts: F.struct(F.lit(kind).alias("kind"), scope.alias("scope"), objects.alias("objects"), unresolved.alias("unresolved_objects"), *[x.alias(n) for n, x in zip(FILE_COUNTS, counts, strict=True)])
+    files = [F.col(n) for n in FILE_COUNTS]
+    each = {"archive": row("archive", F.lit("archive"), zero, zero, files), "collection_id": row("collection_id", F.col("collection_id"), zero, zero, files)}
+    each |= {k: row(k, F.col(k), F.col(f"{k}_objects"), F.col(f"{k}_unresolved"), files) for k in counted}
+    whole = c.objects.groupBy("collection_id").agg(F.count(F.lit(1)).alias("objects"), F.count_if(F.col("expected").isNull()).alias("unresolved"))
+    alone = [row(k, F.lit("archive") if k == "archive" else F.col("collection_id"), F.col("objects"), F.col("unresolved"), [zero] * len(files)) for k in ("archive", "collection_id") if k in scopes]
+    rows = places.select(F.explode(F.array(*[each[k] for k in scopes])).alias("x"))
+    if alone:
+        rows = rows.unionByName(whole.select(F.explode(F.array(*alone)).alias("x")))
+    return rows.select("x.*").filter("scope is not null").groupBy("kind", "scope").agg(*[F.sum(n).alias(n) for n in ("objects", "unresolved_objects", *FILE_COUNTS)])
+
+
+def scope_summary(c: Catalog, scope: str) -> DataFrame:
+    """Objects and files of one kind of scope: archive, collection_id, location_id, device_id or site."""
+    return scope_summaries(c, (scope,)).drop("kind")
 
 
 def site_devices(c: Catalog) -> DataFrame:
