@@ -9,12 +9,13 @@ from holdfast.functions import predicates as p
 from holdfast.sources.adapter import Catalog
 
 
-def fold_observations(observations: DataFrame, objects: DataFrame) -> DataFrame:
-    """The state of each (object, location) after its observations in the order of time and seq.
+def fold_parts(observations: DataFrame, objects: DataFrame) -> DataFrame:
+    """What the state of each (object, location) is made of: greatest rows of its observations by time and seq.
 
     The state machine needs no sequential pass. Checksums, rejections and absences set the integrity;
     read errors and metadata sightings behind the last of these keep damage, and a read error takes
-    verification away. So the fold is one aggregation of greatest rows, with partial sums on the map side.
+    verification away. So the fold is one aggregation with partial sums on the map side, and parts of
+    earlier and later observations are put together by `merge_parts`.
     """
     at = F.struct("time_ms", "seq")
     kind = F.col("kind")
@@ -23,14 +24,28 @@ def fold_observations(observations: DataFrame, objects: DataFrame) -> DataFrame:
     sets = F.when(kind == "checksum", F.when(match, "verified").otherwise("damaged")).when(kind == "rejected", "damaged").when(kind == "missing", "unverified")
     result = F.when(kind == "checksum", F.when(match, "ok").otherwise("mismatch")).when(kind == "rejected", "mismatch").when(kind == "read_error", "read_error").when(kind == "missing", "missing")
     presence = F.when(kind == "read_error", "unknown").when(kind == "missing", "missing").otherwise("present")
-    check = F.struct("time_ms", result.alias("result"), F.when(kind.isin("checksum", "rejected"), F.col("observed")).alias("observed"))
-    per = rows.groupBy("object_id", "location_id").agg(
-        F.max_by(presence, "at").alias("presence"), F.max_by(F.struct(sets.alias("value"), "at"), F.when(sets.isNotNull(), F.col("at"))).alias("setter"), F.max(F.when(kind == "read_error", F.col("at"))).alias("error_at"),
-        F.max_by(check, F.when(result.isNotNull(), F.col("at"))).alias("check"), F.max(F.when(result == "ok", F.col("time_ms"))).alias("last_success_ms"), F.count(F.lit(1)).alias("events"),
+    return rows.groupBy("object_id", "location_id").agg(
+        F.max(F.struct("at", presence.alias("value"))).alias("presence"), F.max(F.when(sets.isNotNull(), F.struct("at", sets.alias("value")))).alias("setter"), F.max(F.when(kind == "read_error", F.col("at"))).alias("error_at"),
+        F.max(F.when(result.isNotNull(), F.struct("at", result.alias("result"), F.when(kind.isin("checksum", "rejected"), F.col("observed")).alias("observed")))).alias("check"),
+        F.max(F.when(result == "ok", F.col("time_ms"))).alias("last_success_ms"), F.count(F.lit(1)).alias("events"),
     )
+
+
+def merge_parts(parts: DataFrame, *keys: str) -> DataFrame:
+    """Parts of the same keys as one; `keys` are further columns that go with them."""
+    greatest = ("presence", "setter", "error_at", "check", "last_success_ms")
+    return parts.groupBy("object_id", "location_id", *keys).agg(*[F.max(x).alias(x) for x in greatest], F.sum("events").alias("events"))
+
+
+def finish_parts(parts: DataFrame) -> DataFrame:
     value, lost = F.col("setter.value"), F.col("error_at") > F.col("setter.at")
     integrity = F.when(value == "damaged", "damaged").when((value == "verified") & ~F.coalesce(lost, F.lit(False)), "verified").otherwise("unverified")
-    return per.select("object_id", "location_id", "presence", integrity.alias("integrity"), F.col("check.time_ms").alias("last_check_ms"), F.col("check.result").alias("last_check_result"), F.col("check.observed").alias("observed"), "last_success_ms", "events")
+    return parts.select("object_id", "location_id", F.col("presence.value").alias("presence"), integrity.alias("integrity"), F.col("check.at.time_ms").alias("last_check_ms"), F.col("check.result").alias("last_check_result"), F.col("check.observed").alias("observed"), "last_success_ms", "events")
+
+
+def fold_observations(observations: DataFrame, objects: DataFrame) -> DataFrame:
+    """The state of each (object, location) after its observations in the order of time and seq."""
+    return finish_parts(fold_parts(observations, objects))
 
 
 def missing_candidates(c: Catalog, seen: DataFrame) -> DataFrame:
@@ -110,6 +125,46 @@ def device_history(moves: DataFrame) -> DataFrame:
     return moves.withColumn("departed_ms", F.lead("arrived_ms").over(W.partitionBy("device_id").orderBy("arrived_ms", "site_id")))
 
 
+def known_entries(listing: DataFrame, observations: DataFrame, files: DataFrame, copies: DataFrame, candidates: DataFrame) -> DataFrame:
+    """What is known of each listed path (scan_id, collection_id, location_id, path): file, copy, their states, and two flags.
+
+    observations (file_id, location_id, path, state, last_at, last_scan); files (file_id, collection_id, state);
+    copies (copy_id, location_id, path, state, state_at); candidates (scan_id, location_id, kind, subject, at):
+    a scan's missing ones count while nothing newer was told of the path or copy.
+    """
+    active = files.filter(F.col("state") == "active").select("file_id", "collection_id")
+    seen = observations.withColumnRenamed("state", "path_state").join(active, "file_id")
+    held = copies.filter(F.col("state") != "superseded").select("copy_id", "location_id", "path", F.col("state").alias("copy_state"), "state_at")
+    rows = listing.join(seen, ["collection_id", "location_id", "path"]).join(held, ["location_id", "path"], "left")
+    newest = candidates.groupBy("scan_id", "location_id", "kind", "subject").agg(F.max("at").alias("_at"))
+    of = lambda kind, key: newest.filter(F.col("kind") == kind).select("scan_id", "location_id", F.col("subject").alias(key), F.col("_at").alias(f"_{kind}_at"))
+    rows = rows.join(of("path", "file_id"), ["scan_id", "location_id", "file_id"], "left").join(of("copy", "copy_id"), ["scan_id", "location_id", "copy_id"], "left")
+    newer = F.coalesce(F.col("_path_at") > F.col("last_at"), F.lit(False)) | F.coalesce(F.col("_copy_at") > F.col("state_at"), F.lit(False))
+    return rows.select("scan_id", "location_id", "path", "file_id", "copy_id", "path_state", "copy_state", F.coalesce(F.col("last_scan") == F.col("scan_id"), F.lit(False)).alias("observed_by_scan"), newer.alias("pending_missing"))
+
+
+def known_copies(listing: DataFrame, copies: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The copy at each listed path (scan_id, location_id, path), its state, and whether the scan's newer candidate says it is missing."""
+    held = copies.filter(F.col("state") != "superseded").select("copy_id", "location_id", "path", "state", "content_id", "external_id", "state_at")
+    newest = candidates.filter(F.col("kind") == "copy").groupBy("scan_id", "location_id", F.col("subject").alias("copy_id")).agg(F.max("at").alias("_at"))
+    rows = listing.join(held, ["location_id", "path"]).join(newest, ["scan_id", "location_id", "copy_id"], "left")
+    return rows.select("scan_id", "location_id", "path", "copy_id", "state", "content_id", "external_id", F.coalesce(F.col("_at") > F.col("state_at"), F.lit(False)).alias("pending_missing"))
+
+
+def listed(rows: DataFrame, category: str, order: list[str], size: str, limit: int = 20) -> DataFrame:
+    """Each category with its count and bytes, the first `limit` rows of it by an order, and whether there are more.
+
+    The rows are numbered inside a category and cut before they are gathered.
+    """
+    from pyspark.sql import Window as W
+
+    totals = rows.groupBy(category).agg(F.count(F.lit(1)).alias("count"), F.sum(size).alias("bytes"))
+    # the limit goes below the shuffle: each task keeps its own first rows only
+    first = rows.withColumn("_at", F.row_number().over(W.partitionBy(category).orderBy(*order))).filter(F.col("_at") <= limit)
+    names = first.groupBy(category).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.struct(*order).alias("x")))), lambda y: y["x"]).alias("listed"))
+    return totals.join(names, category).withColumn("truncated", F.col("count") > limit)
+
+
 def equal_tables(a: DataFrame, b: DataFrame) -> DataFrame:
     """only_a, only_b: rows, with their multiplicities, that the other table lacks."""
     b = b.select(*a.columns)
@@ -117,6 +172,18 @@ def equal_tables(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(b.exceptAll(a).agg(F.count(F.lit(1)).alias("only_b")), F.lit(True))
 
 
+def ordered_digest(rows: DataFrame, digits: int = 3) -> DataFrame:
+    """One digest of a table's rows in an order of their own: 16 ** digits groups of row digests, sorted and hashed, then hashed together.
+
+    Equal tables have equal digests, however they are partitioned; values go in with their length, nulls apart.
+    """
+    value = lambda c: F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    own = F.sha2(F.concat(*[value(c) for c in sorted(rows.columns)]).cast("binary"), 256)
+    groups = rows.select(own.alias("d")).groupBy(F.substring("d", 1, digits).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "").cast("binary"), 256).alias("h"))
+    listing = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), "")
+    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(listing.cast("binary"), 256).alias("digest"))
+
+
 def fingerprint(rows: DataFrame) -> DataFrame:
     """An order-independent digest: rows and the XOR of their hashes, in four parts."""
     digest = F.sha2(F.to_json(F.struct(*rows.columns)), 256)

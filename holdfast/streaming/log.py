@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 
 def chain_faults(records: DataFrame) -> DataFrame:
     """records (origin_id, origin_seq, hash, previous_hash) -> those that break the chain, with the fault."""
-    own = W.partitionBy("origin_id").orderBy("origin_seq")
-    rows = records.withColumns({"_hash": F.lag("hash").over(own), "_seq": F.lag("origin_seq").over(own)})
+    # a record is held against the one of the seq before it, so one origin's log is spread over all tasks
+    same = W.partitionBy("origin_id", "origin_seq").orderBy("hash")
+    rows = records.withColumn("_copy", F.row_number().over(same))
+    before = records.groupBy("origin_id", (F.col("origin_seq") + 1).alias("origin_seq")).agg(F.max("hash").alias("_hash"), F.lit(True).alias("_there"))
+    first = records.groupBy("origin_id").agg(F.min("origin_seq").alias("_first"))
+    rows = rows.join(before, ["origin_id", "origin_seq"], "left").join(first, "origin_id")
     fault = (
-        F.when(F.col("_seq").isNull(), F.when(F.col("previous_hash").isNotNull(), "first_record_has_previous").when(F.col("origin_seq") != 1, "gap"))
-        .when(F.col("origin_seq") == F.col("_seq"), "rewritten").when(F.col("origin_seq") != F.col("_seq") + 1, "gap").when(~F.col("previous_hash").eqNullSafe(F.col("_hash")), "broken_link")
+        F.when(F.col("_copy") > 1, "rewritten").when(F.col("origin_seq") == F.col("_first"), F.when(F.col("previous_hash").isNotNull(), "first_record_has_previous").when(F.col("origin_seq") != 1, "gap"))
+        .when(F.col("_there").isNull(), "gap").when(~F.col("previous_hash").eqNullSafe(F.col("_hash")), "broken_link")
     )
     return rows.select("origin_id", "origin_seq", fault.alias("fault")).filter("fault is not null")
 
