@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from holdfast.functions import predicates as p
@@ -67,3 +68,25 @@ def integrity_report(c: Catalog) -> DataFrame:
     bad = c.copies.filter(F.col("state") == "corrupt").select("content_id", F.col("copy_id").alias("corrupt_copy"), F.col("location_id").alias("corrupt_location"))
     good = c.copies.filter((F.col("state") == "present") & (F.col("verification_result") == "ok")).select("content_id", F.col("copy_id").alias("good_copy"), "last_verified_ms")
     return bad.join(good, "content_id", "left")
+
+
+def review_contents(contents: DataFrame, hashes: DataFrame, files: DataFrame, limit: int = 100) -> DataFrame:
+    """contents (content_id, ...) with all their hashes (content_id, algorithm, digest, source) and the first page of active files of each.
+
+    A page is `limit` files by path, with a flag whether there are more; files are numbered and cut before they are gathered.
+    """
+    if not 1 <= limit <= 1000:
+        raise ValueError("a page has 1 to 1000 files")
+    known = hashes.groupBy("content_id").agg(F.array_sort(F.collect_set(F.struct("algorithm", "digest", "source"))).alias("hashes"))
+    own = W.partitionBy("content_id").orderBy("collection_id", "path", "file_id")
+    active = files.filter((F.col("state") == "active") & F.col("content_id").isNotNull()).select("content_id", "collection_id", "path", "file_id")
+    page = active.withColumn("_at", F.row_number().over(own)).filter(F.col("_at") <= limit + 1)
+    page = page.groupBy("content_id").agg(F.array_sort(F.collect_list(F.struct("_at", "collection_id", "path", "file_id"))).alias("files"))
+    rows = contents.join(known, "content_id", "left").join(page, "content_id", "left").withColumn("files", F.coalesce("files", F.array().cast(page.schema["files"].dataType)))
+    return rows.withColumns({"more": F.size("files") > limit, "files": F.transform(F.slice("files", 1, limit), lambda x: x.dropFields("_at")), "hashes": F.coalesce("hashes", F.array().cast(known.schema["hashes"].dataType))})
+
+
+def shared_identity(files: DataFrame) -> DataFrame:
+    """Files that share an external identity with another one: file_id, other_id."""
+    own = files.filter("external_id is not null").select("external_id", "file_id")
+    return own.join(own.withColumnRenamed("file_id", "other_id"), "external_id").filter("file_id <> other_id").select("file_id", "other_id")

@@ -100,11 +100,7 @@ _JOINED = "files f JOIN objects o USING (object_id) JOIN locations l USING (loca
 
 @query("k06_scope_summaries", " UNION ALL ".join((_scope("'archive'", "archive", _JOINED, "objects o"), _scope("o.collection_id", "collection_id", _JOINED, "objects o"), *(_scope(e, k, _JOINED, _JOINED) for e, k in (("l.location_id", "location_id"), ("l.device_id", "device_id"), ("coalesce(l.site_id, d.current_site_id)", "site"))))))
 def _(c):
-    parts = [summaries.scope_summary(c, s).select(F.lit(s).alias("kind"), "*") for s in ("archive", "collection_id", "location_id", "device_id", "site")]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return summaries.scope_summaries(c)
 
 
 _HEALTHY = f"coalesce({GOOD} AND f.last_success_ms <= {AS_OF}, false)"
@@ -253,16 +249,20 @@ loss AS (SELECT DISTINCT file_id, copy_id, domain FROM (SELECT file_id, copy_id,
   UNION ALL SELECT g.file_id, g.copy_id, 'risk:' || r.risk_id FROM good g JOIN risk_assignments r ON (r.entity_type = 'location' AND r.entity_id = g.location_id) OR (r.entity_type = 'archive_root' AND r.entity_id = g.archive_root_id) OR (r.entity_type = 'device' AND r.entity_id = g.device_id) OR (r.entity_type = 'site' AND r.entity_id = g.esite))),
 scenarios AS (SELECT file_id, domain, count(*) AS affected, t.n - count(*) AS remaining FROM loss JOIN (SELECT file_id, count(*) AS n FROM good GROUP BY 1) t USING (file_id) GROUP BY file_id, domain, t.n),
 evaluated AS (SELECT file_id, collection_id, policy_id, any_value(size) AS size, count(*) FILTER (copy_id IS NOT NULL AND len(reasons) = 0) AS copies, count(DISTINCT device_id) FILTER (copy_id IS NOT NULL AND len(reasons) = 0) AS devices, count(DISTINCT esite) FILTER (copy_id IS NOT NULL AND len(reasons) = 0) AS sites,
-  coalesce(bool_or(copy_id IS NOT NULL AND len(list_filter(reasons, lambda x: x IN ({_in([n for n, _, u in _RULES if u] + ["file_identity_not_resolved"])}))) > 0), false) AS doubt, bool_or(usable) AS usable, min(CASE WHEN usable THEN expiry END) AS valid_until,
+  coalesce(bool_or(copy_id IS NOT NULL AND len(list_filter(reasons, lambda x: x IN ({_in([n for n, _, u in _RULES if u] + ["file_identity_not_resolved"])}))) > 0), false) AS doubt, bool_or(usable) AS usable, min(CASE WHEN usable THEN expiry END) AS valid_until, list_distinct(flatten(list(reasons))) AS told,
   min_copies, min_devices, min_sites, offsite, offline, encrypted_offsite, coalesce(bool_or(len(reasons) = 0 AND copy_id IS NOT NULL AND away), false) AS has_off, coalesce(bool_or(len(reasons) = 0 AND copy_id IS NOT NULL AND is_offline), false) AS has_line, coalesce(bool_or(len(reasons) = 0 AND copy_id IS NOT NULL AND away AND is_encrypted), false) AS has_enc,
   EXISTS (SELECT 1 FROM scenarios s WHERE s.file_id = judged.file_id AND s.remaining = 0) AS lost FROM judged GROUP BY file_id, collection_id, policy_id, min_copies, min_devices, min_sites, offsite, offline, encrypted_offsite),
 final AS (SELECT *, array_to_string(list_filter([CASE WHEN copies < min_copies THEN 'min_qualifying_copies' END, CASE WHEN devices < min_devices THEN 'min_devices' END, CASE WHEN sites < min_sites THEN 'min_sites' END, CASE WHEN offsite AND NOT has_off THEN 'require_offsite_copy' END, CASE WHEN offline AND NOT has_line THEN 'require_offline_copy' END, CASE WHEN encrypted_offsite AND NOT has_enc THEN 'require_encrypted_offsite' END], lambda x: x IS NOT NULL), ',') AS failed FROM evaluated),
 stated AS (SELECT *, CASE WHEN failed = '' AND NOT lost AND usable THEN 'satisfied' WHEN doubt OR NOT usable THEN 'uncertain' ELSE 'violated' END AS status FROM final) """
 
 
-@query("k27_evaluate_policies", _POLICY + "SELECT file_id, collection_id, policy_id, copies, devices, sites, failed, lost::INT AS permanent_loss, status, valid_until FROM stated")
+_SAYS = lambda *words: "list_bool_or([false] || list_transform(told, lambda x: " + " OR ".join(f"contains(x, '{w}')" for w in words) + "))"
+
+
+@query("k27_evaluate_policies", _POLICY + f"""SELECT file_id, collection_id, policy_id, copies, devices, sites, failed, lost::INT AS permanent_loss, status, valid_until, array_to_string(list_filter([CASE WHEN {_SAYS('device', 'fingerprint')} THEN 'connect_device' END, CASE WHEN failed <> '' OR lost THEN 'create_copy' END, CASE WHEN NOT usable THEN 'resolve_identity' END,
+CASE WHEN {_SAYS('unknown', 'mismatch')} THEN 'review_topology' END, CASE WHEN {_SAYS('observation')} THEN 'scan_again' END, CASE WHEN {_SAYS('verification')} THEN 'verify_again' END], lambda x: x IS NOT NULL), ',') AS actions FROM stated""")
 def _(c):
-    return policy.evaluate(c, AS_OF).withColumn("failed", F.array_join("failed", ",")).drop("actions")
+    return policy.evaluate(c, AS_OF).withColumns({"failed": F.array_join("failed", ","), "actions": F.array_join("actions", ",")}).drop("size")
 
 
 @query("k27_rollup", _POLICY + "SELECT policy_id, collection_id, status, count(*) AS files, sum(size)::BIGINT AS bytes, min(valid_until) AS valid_until FROM stated GROUP BY 1, 2, 3")
@@ -272,7 +272,7 @@ def _(c):
 
 @query("k27_copy_reasons", _POLICY + "SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM judged) GROUP BY 1")
 def _(c):
-    return policy.assessed(c, AS_OF).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return policy.assessed(c, AS_OF).select(F.explode(policy.reason_names(AS_OF)).alias("reason"), "files").groupBy("reason").agg(F.sum("files").alias("n"))
 
 
 @query("k27e_unconfigured", ", x AS (SELECT k.collection_id, CASE WHEN k.policy_id IS NULL THEN 'policy_missing' WHEN q.policy_id IS NULL THEN 'policy_unknown' WHEN k.home_site_id IS NULL THEN 'home_site_missing' WHEN s.status IS DISTINCT FROM 'active' THEN 'home_site_inactive' END AS reason FROM collections k LEFT JOIN policies q USING (policy_id) LEFT JOIN sites s ON s.site_id = k.home_site_id) SELECT * FROM x WHERE reason IS NOT NULL")
@@ -365,7 +365,11 @@ def _(c):
     return access.access_states(c, _requested(c), _reachable(c), "collection_1")
 
 
-@query("k31_attachment_plan")
+@query("k31_attachment_plan", """, held AS (SELECT DISTINCT coalesce('o' || c.content_id, 'e' || c.external_id) AS k, l.device_id FROM copies c JOIN locations l USING (location_id) WHERE c.state = 'present' AND l.status = 'active' AND l.device_id IN (SELECT device_id FROM devices WHERE status = 'active')),
+wanted AS (SELECT coalesce('o' || content_id, 'e' || external_id) AS k, count(*) AS n FROM file_refs WHERE state = 'active' AND collection_id IN ('collection_1', 'collection_2') GROUP BY 1), sets AS (SELECT k, any_value(n) AS n, list(DISTINCT device_id) AS ds FROM wanted JOIN held USING (k) GROUP BY 1),
+plan AS (SELECT * FROM (WITH RECURSIVE r(step, device_id, newly_covered, chosen) AS (SELECT 0, NULL::VARCHAR, 0::BIGINT, []::VARCHAR[] UNION ALL
+  SELECT r.step + 1, b.d, b.c, list_append(r.chosen, b.d) FROM r, LATERAL (SELECT d, sum(n)::BIGINT AS c FROM (SELECT unnest(ds) AS d, n FROM sets WHERE NOT list_has_any(ds, r.chosen)) GROUP BY d ORDER BY c DESC, d LIMIT 1) b) SELECT * FROM r))
+SELECT step, device_id, newly_covered FROM plan WHERE step > 0""")
 def _(c):
     return access.attachment_plan(c, _requested(c), _reachable(c).limit(0))
 
@@ -441,19 +445,6 @@ def _(c):
     return scans.duplicates(c.file_refs, "content_id")
 
 
-@query("k51_rebuild_equivalence", "SELECT 0::BIGINT AS only_a, 0::BIGINT AS only_b")
-def _(c):
-    # the fold of everything equals the fold of the objects' halves, put together
-    half = F.crc32(F.col("object_id").cast("binary")) % 2
-    fold = lambda o: scans.fold_observations(o, c.objects)
-    return scans.equal_tables(fold(c.observations), fold(c.observations.filter(half == 0)).unionByName(fold(c.observations.filter(half == 1))))
-
-
-@query("k54_interleaved_scans", "SELECT DISTINCT s.scan_id FROM scans s JOIN scans x ON x.location_id = s.location_id AND x.collection_id = s.collection_id AND x.scan_id <> s.scan_id AND x.started_ms BETWEEN s.started_ms AND s.finished_ms")
-def _(c):
-    return scans.interleaved_scans(c)
-
-
 def _device_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     text = lambda p, x: F.concat(F.lit(p), x.cast("string"))
@@ -561,3 +552,6 @@ def _(c):
     line = F.struct("seq", F.concat(F.col("time_ms").cast("string"), F.lit("s "), sign, F.lit(" "), "location_id").alias("line"))
     logs = c.observations.groupBy(F.col("object_id").alias("key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("blob"))
     return annex.location_states(logs)
+
+
+from holdfast.plans import logs, reviews  # noqa: E402, F401 - these register further queries

@@ -145,7 +145,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for i in range(3):
         spark.createDataFrame(rows[i * 40 : i * 40 + 40], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
         stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log")
-        table.follow(stream, objects, f"{tmp_path}/checkpoint").awaitTermination()
+        table.follow(stream, objects, checkpoint=f"{tmp_path}/checkpoint").awaitTermination()
     whole = scans.fold_observations(spark.createDataFrame(rows, kind), objects)
     assert sorted(table.current().collect()) == sorted(whole.collect()) and len(table.versions()) == 3
     table.apply(spark.createDataFrame(rows[:40], kind), table.versions()[-1], objects)
@@ -189,7 +189,7 @@ def test_annex_logs(spark):
     assert [r["k"] for r in trees.select(annex.key_of_pointer("mode", "blob").alias("k")).collect()] == ["K", None, "K", None]
 
 
-def test_attachment_plan_is_greedy(spark):
+def test_attachment_plan_is_greedy(spark, monkeypatch):
     from holdfast.operators import access
 
     from .test_fixtures import build, device, location
@@ -199,7 +199,131 @@ def test_attachment_plan_is_greedy(spark):
     requested = spark.createDataFrame([(i, f"f{i}") for i in range(1, 6)], "ordinal long, file_id string")
     none = c.locations.limit(0).select("location_id")
     assert [tuple(r) for r in access.attachment_plan(c, requested, none).orderBy("step").collect()] == [(1, "b", 3), (2, "a", 1)]
+    monkeypatch.setattr(access, "MAX_CLASSES", 1)
+    assert [tuple(r) for r in access.attachment_plan(c, requested, none).orderBy("step").collect()] == [(1, "b", 3), (2, "a", 1)]
     states = {r["file_id"]: r["access"] for r in access.access_states(c, requested, spark.createDataFrame([("lb",)], "location_id string"), "k").collect()}
     assert states == {"f1": "attachment_required", "f2": "accessible", "f3": "accessible", "f4": "accessible", "f5": "no_known_copy"}
     lines = spark.createDataFrame([(1, '"f1"'), (2, '{"file_ref_id": "f2"}'), (3, '"f1"')], "ordinal long, line string")
     assert {tuple(r) for r in access.parse_requests(lines).select("ordinal", "file_id").collect()} == {(1, "f1"), (2, "f2")}
+
+
+def test_state_in_buckets(spark, tmp_path):
+    """Copies folded batch by batch: untouched buckets stay as they are, a replayed batch changes nothing, old files go."""
+    from holdfast.streaming import state
+    from holdfast.streaming.versions import COPIES
+
+    kind = "copy_id string, file_id string, location_id string, content_id string, kind string, result string, time_ms long, at long"
+    kinds = (("content_observed", None), ("copy_verification_failed", "hash_mismatch"), ("copy_verification_failed", "read_error"), ("scan_missing_candidate", None))
+    rows = [(f"c{i * i % 17}", f"f{i * i % 17}", "l", f"x{i % 4}", *kinds[(i * 7 + i // 5) % 4], 1000 - i if i % 6 else 5000, i) for i in range(90)]
+    table = StateTable(spark, f"file://{tmp_path}/state", COPIES, buckets=8)
+    for n, part in enumerate((rows[:40], rows[40:45], [], rows[45:])):
+        table.apply(spark.createDataFrame(part, kind), n)
+        written = {p.name for p in (tmp_path / "state/state").glob(f"{n}/bucket=*")}
+        assert len(written) <= len({r[0] for r in part})
+    table.apply(spark.createDataFrame(rows[:40], kind), 3)
+    whole = spark.createDataFrame(rows, kind)
+    assert sorted(map(str, table.current().collect())) == sorted(map(str, state.finish_copies(state.copy_parts(whole)).collect())) and table.versions() == [0, 1, 2, 3]
+    named = set(table._manifest().items())
+    left = {(p.name.removeprefix("bucket="), int(p.parent.name)) for p in (tmp_path / "state/state").glob("*/bucket=*")}
+    assert named <= left and len(left) <= 2 * len(named)
+    assert {r["copy_id"] for r in state.unknown_copies(state.copy_parts(whole.filter("kind <> 'content_observed'"))).collect()} == {r[0] for r in rows if r[4] != "content_observed"}
+
+
+def plain_files(rows, saw):
+    """Paths folded one observation after another."""
+    out = {}
+    for path, content, origin, seq, record in rows:
+        old, conflict = out.get(path, (None, False))
+        if old and old[0] != content and not conflict:
+            conflict = saw.get((record, old[1]), 0) < old[2]
+        out[path] = ((content, origin, seq), conflict)
+    return {p: (None if c else x[0], c) for p, (x, c) in out.items()}
+
+
+def test_files_fold_in_parts(spark):
+    import random
+
+    from holdfast.plans.logs import merge_files
+    from holdfast.streaming import state
+
+    rng = random.Random(8)
+    rows = [(f"p{rng.randint(0, 12)}", f"x{rng.randint(0, 1)}", f"o{rng.randint(0, 2)}", i, f"r{i}") for i in range(60)]
+    saw = {(r[4], f"o{k}"): rng.randint(max(0, r[3] - 25), r[3]) for r in rows for k in range(3)}
+    known = spark.createDataFrame([(r, o, s) for (r, o), s in saw.items()], "record_id string, origin_id string, seq long")
+    items = spark.createDataFrame([("c", p, f"f{p}", x, o, s, r, s) for p, x, o, s, r in rows], "collection_id string, path string, file_id string, content_id string, origin_id string, origin_seq long, record_id string, at long")
+    want = plain_files(rows, saw)
+    assert 0 < sum(c for _, c in want.values()) < len(want)
+    for cut in (0, 20, 45):
+        first = state.file_parts(items.filter(F.col("at") < cut), known)
+        both = merge_files(first, state.file_parts(items.filter(F.col("at") >= cut), known, first))
+        assert {r["path"]: (r["content_id"], r["identity_state"] == "conflict") for r in state.finish_files(both).collect()} == want
+    moved = items.unionByName(items.limit(1).withColumns({"file_id": F.lit("other"), "at": F.lit(99).cast("long")}))
+    with pytest.raises(Exception, match="another file id"):
+        state.file_parts(moved, known).collect()
+
+
+def test_unknown_kinds_and_failures_are_errors(spark):
+    from holdfast.streaming import state
+
+    kind = "copy_id string, file_id string, location_id string, content_id string, kind string, result string, time_ms long, at long"
+    one = lambda k, r=None: spark.createDataFrame([("c", "f", "l", "x", k, r, 1, 1)], kind)
+    assert len(state.KINDS) == 40 and state.checked(one("job_started")).count() == 1
+    with pytest.raises(Exception, match="unknown item kind odd"):
+        state.dispatch(one("odd"))["job_started"].collect()
+    with pytest.raises(Exception, match="not a verification failure"):
+        state.copy_parts(one("copy_verification_failed", "ok")).collect()
+
+
+def test_registry_faults(spark):
+    from holdfast.operators import topology
+
+    from .test_fixtures import build, device, location
+
+    c = build(spark, sites=[("s", "s", "active")], devices=[device("d", "s")], locations=[location("l", "filesystem", device="d", root="r")], archive_roots=[("r", "d", "active")], policies=[], collections=[("k", "k", "s", None, "active")], risk_assignments=[("site", "s", "q")])
+    fault = lambda df: {r["change_id"]: r["fault"] for r in df.collect()}
+    rows = [("a", "register", "s", "s", "active", "x"), ("b", "update", "t", "t", "active", "x"), ("c", "update", "s", "s", "active", ""), ("d", "retire", "s", "s", "retired", "x"), ("e", "register", "", "s", "active", "x")]
+    assert fault(topology.site_changes(spark.createDataFrame(rows, "change_id string, action string, site_id string, display_name string, status string, site_kind string"), c.sites)) == {"a": "already_exists", "b": "not_found", "c": "site_kind_required", "d": None, "e": "id_required"}
+    policies = spark.createDataFrame([("p", 3)], "policy_id string, version int")
+    rows = [("a", "update", "p", "p", "active", 3), ("b", "update", "p", "p", "active", 4), ("c", "register", "q", "q", "active", 0)]
+    assert fault(topology.policy_changes(spark.createDataFrame(rows, "change_id string, action string, policy_id string, display_name string, status string, version int"), policies)) == {"a": "version_not_increased", "b": None, "c": "version_not_positive"}
+    rows = [("a", "update", "k", "k", "active", "none", None), ("b", "update", "k", "k", "active", "s", "p"), ("c", "update", "k", "k", "active", None, None)]
+    assert fault(topology.collection_changes(spark.createDataFrame(rows, "change_id string, action string, collection_id string, display_name string, status string, home_site_id string, policy_id string"), c)) == {"a": "home_site_not_found", "b": "policy_not_found", "c": None}
+    kind = "archive_root_id string, device_id string, path string, fingerprint string, fingerprint_kind string, identity_state string, status string, display_name string"
+    roots = spark.createDataFrame([("r", "d", "/x", "1", "fs", "confirmed", "active", "r")], kind)
+    rows = [("a", "register", "n", "d", "/x", "2", "fs", "confirmed", "active", "n"), ("b", "register", "n", "d", "/y", "1", "fs", "confirmed", "active", "n"), ("c", "update", "r", "d", "/y", "1", "fs", "confirmed", "active", "r"), ("d", "update", "r", "d", "/x", "1", "fs", "confirmed", "active", "new name"), ("e", "register", "n", "z", "/y", None, None, "unavailable", "active", "n"), ("f", "register", "n", "d", "/y", None, None, "confirmed", "active", "n")]
+    assert fault(topology.root_changes(spark.createDataFrame(rows, "change_id string, action string, " + kind), roots, c.devices)) == {"a": "path_taken", "b": "fingerprint_taken", "c": "evidence_changed", "d": None, "e": "device_not_found", "f": "evidence_does_not_fit"}
+    rows = [("a", "assign", "q", "site", "s"), ("b", "unassign", "q", "device", "d"), ("c", "assign", "q", "shelf", "s"), ("d", "assign", "z", "site", "s"), ("e", "assign", "q", "device", "none"), ("f", "unassign", "q", "site", "s")]
+    domains = spark.createDataFrame([("q",)], "risk_id string")
+    assert fault(topology.risk_changes(spark.createDataFrame(rows, "change_id string, action string, risk_id string, entity_type string, entity_id string"), c, domains)) == {"a": "already_assigned", "b": "not_assigned", "c": "invalid_entity_type", "d": "risk_not_found", "e": "entity_not_found", "f": None}
+    rows = [("a", "m", "d", "r", "/m", "mounted", "match"), ("b", "m", "d", "none", "/m", "mounted", "match"), ("c", "", "d", None, "/m", "mounted", "match"), ("d", "m", "z", None, "/m", "mounted", "match"), ("e", "m", "d", None, "/m", "gone", "match")]
+    assert fault(topology.mount_changes(spark.createDataFrame(rows, "change_id string, mount_id string, device_id string, archive_root_id string, mount_root string, status string, fingerprint_status string"), c)) == {"a": None, "b": "archive_root_not_found", "c": "mount_id_required", "d": "device_not_found", "e": "invalid_mount_state"}
+
+
+def test_findings_pages(spark):
+    from holdfast.operators import evaluations
+
+    status = spark.createDataFrame([("p", "e1", None), ("q", "e2", "freshness_expired"), ("r", "e3", None)], "policy_id string, evaluation_id string, reason string")
+    findings = spark.createDataFrame([(e, f"f{i:02d}", "c", "violated" if i % 2 else "uncertain") for e in ("e1", "e2", "e3") for i in range(10)], "evaluation_id string, file_id string, collection_id string, status string")
+    seen, after = [], None
+    while True:
+        got = [tuple(r) for r in evaluations.findings_page(status, findings, 7, after).select("policy_id", "file_id").collect()]
+        seen += got[:7]
+        if len(got) <= 7:
+            break
+        after = got[6]
+    assert seen == [(p, f"f{i:02d}") for p in "pr" for i in range(10)]
+    assert evaluations.findings_page(status, findings, 50, state="violated", policy_id="p").count() == 5
+    for bad in ({"limit": 0}, {"limit": 1, "state": "satisfied"}):
+        with pytest.raises(ValueError):
+            evaluations.findings_page(status, findings, **bad)
+
+
+def test_checked_counters(spark):
+    from holdfast.functions import numbers
+
+    rows = spark.createDataFrame([(2**62,), (2**62,)], "n long")
+    assert rows.agg(numbers.saturating_sum("n").alias("n")).first()["n"] == 2**63 - 1
+    with pytest.raises(Exception, match="out of range"):
+        rows.agg(numbers.checked_sum("n")).collect()
+    assert [r["p"] for r in spark.createDataFrame([(1, 3), (0, 0), (2, 2)], "a int, b int").select(numbers.percent("a", "b").alias("p")).collect()] == [33.3, 0.0, 100.0]
+    assert spark.createDataFrame([(-1,), (86_400_000,)], "t long").select(numbers.utc_text("t").alias("t")).collect() == [("1969-12-31T23:59:59Z",), ("1970-01-02T00:00:00Z",)]

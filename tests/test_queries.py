@@ -29,9 +29,8 @@ def test_query_equals_sql(spark, db, name):
     assert plain(registry.QUERIES[name](spark, SF).toPandas()) == plain(db.execute(registry.ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_query_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() >= 0
+def test_every_query_has_its_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
 def plan(df) -> str:
