@@ -13,6 +13,8 @@ from holdfast.streaming import log
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: The same queries as functions of a catalog, wherever it comes from.
+OF_CATALOG: dict = {}
 
 HOME = "site_1"
 DAYS = {f"collection_{i}": 300 * i + 1500 for i in range(1, 6)}
@@ -27,7 +29,7 @@ def query(name: str, sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(catalog(spark, sf_dir))
 
-        QUERIES[name] = run
+        QUERIES[name], OF_CATALOG[name] = run, f
         if sql is not None:
             ORACLES[name] = SQL + sql
         return f
