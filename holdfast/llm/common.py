@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,16 +16,32 @@ from pyspark.sql import functions as F
 #: Words of the contracts: runs of anything but space and the controls 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of rows that go to a Python worker at once, about.
+BATCH_BYTES = 4 << 20
 #: Bytes of text that a Python task works on at once; longer single texts form their own slice.
 SLICE_BYTES = 8 << 20
 #: The same where numpy makes several arrays of eight bytes for each byte of text.
 NUMPY_BYTES = 1 << 19
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same, in a session that hands rows to Python in batches of BATCH_BYTES, unless it has a setting of its own.
+
+    Buffers of a batch lie outside of the heap, of two batches for each task, and grow by doubling.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local session without it gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set: executors of {master or 'this cluster'} share no folder with the driver")
         found = f"file://{tempfile.mkdtemp(prefix='holdfast-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -52,18 +69,26 @@ class Scratch:
             df.write.option("compression", "zstd").parquet(self.path(name))
         finally:
             self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        return small_batches(self.spark.read.schema(df.schema).parquet(self.path(name)))
+
+    def _at(self, path: str):
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found, found.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            path, fs = self._at(self.path(name))
+            fs.delete(path, True)
+
+    def only(self, *names: str) -> None:
+        """Drop all tables but these."""
+        path, fs = self._at(self.root)
+        if fs.exists(path):
+            self.drop(*(x for x in (s.getPath().getName() for s in fs.listStatus(path)) if x not in names))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def word_count(text) -> F.Column:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from holdfast.llm.common import slices, table
+from holdfast.llm.common import slices, small_batches, table
 from holdfast.llm.units import UnitEncoder
 
 MARK = "▁"
@@ -37,6 +37,8 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Pairs of pieces whose stability is remembered at most.
 MAX_PAIRS = 300_000
+#: Ids that are decoded at once.
+DECODED = 1 << 16
 
 
 def _wire(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -191,7 +193,9 @@ class Model:
 
     def decode(self, ids) -> str:
         raw = self._raw
-        text = b"".join([raw[i] for i in ids])
+        # a list of ids takes far more memory than the array, so a long text is put together by parts
+        parts = [ids] if isinstance(ids, list | tuple) else [ids[i : i + DECODED].tolist() for i in range(0, len(ids), DECODED)]
+        text = b"".join([b"".join([raw[i] for i in part]) for part in parts])
         return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
 
 
@@ -240,14 +244,13 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
             texts = batch.column("text").to_pylist()
             ids, counts = coder.encode(texts)
             ends = np.concatenate([[0], np.cumsum(counts)])
-            flat = ids.tolist()
-            back = [coder.model.decode(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            back = [coder.model.decode(ids[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             same = [b == (t or "") for b, t in zip(back, texts, strict=True)]
             digests = [hashlib.sha256(b.encode()).hexdigest() for b in back]
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(counts, pa.int32()), lists, pa.array(digests, pa.string()), pa.array(same, pa.bool_())], kept + own)
 
-    return docs.select(*kept, "text").mapInArrow(run, schema)
+    return small_batches(docs).select(*kept, "text").mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import Scratch, slices, table
+from holdfast.llm.common import Scratch, slices, small_batches, table
 from holdfast.llm.files import Writer, reading
 from holdfast.llm.units import UnitEncoder
 
@@ -139,7 +139,7 @@ def count(docs: DataFrame, path: str) -> DataFrame:
         ids = np.nonzero(sums)[0]
         yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(sums[ids])], ["id", "n"])
 
-    return docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return small_batches(docs).select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def ranking(counts: DataFrame) -> np.ndarray:

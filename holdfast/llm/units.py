@@ -2,14 +2,18 @@
 
 A text is cut into units that no token crosses. Their 64-bit hashes number them; only units that this
 worker has not seen are encoded, and the ids of whole texts are gathered from the numbered units. The
-table lives in the Python worker, so later tasks find the units of earlier ones, and has a bound.
-Two units with one hash would be mixed up; with n distinct units the odds are about n^2 / 2^65.
+table lives in the Python worker, so later tasks find the units of earlier ones, and is bounded in bytes.
+The hash is keyed with random numbers of the worker, so no text can be made whose units collide; two
+units with one hash would be mixed up, and with n distinct units the odds are about n^2 / 2^65.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import sys
 import types
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -30,16 +34,34 @@ def release() -> None:
     sys.modules.pop("_holdfast_units", None)
 
 
+#: Bytes of one text that are hashed at once, about; longer texts are cut between words.
+LONG = 4 << 20
+_GAP = re.compile(rb"[^ ] ")
+
+
+def pieces(raw: bytes, limit: int = LONG) -> Iterator[bytes]:
+    """A long text in parts of about `limit` bytes, each from a space behind another character; a longer word stays whole."""
+    at = 0
+    while len(raw) - at > limit:
+        gap = _GAP.search(raw, at + limit)
+        if gap is None:
+            break
+        yield raw[at : gap.start() + 1]
+        at = gap.start() + 1
+    yield raw[at:] if at else raw
+
+
 class UnitEncoder:
     """Subclasses say how a text becomes bytes, where units lie in them, and what the ids of new units are."""
 
-    #: Distinct units that a worker remembers at most; then it forgets those that it met only once.
-    max_units = 1_500_000
+    #: Distinct units that a worker remembers at most, and ids of them; then it forgets those that it met only once.
+    max_units, max_ids = 1_500_000, 4_000_000
     #: Bytes of text to encode at once: more is faster, as each slice updates the table, and takes more memory.
     slice_bytes = 2 << 20
 
     def __init__(self):
         self.powers = _powers(1 << 16)
+        self.salt = np.frombuffer(os.urandom(256 * 8), np.uint64) | np.uint64(1)
         self.clear()
 
     def clear(self) -> None:
@@ -58,6 +80,9 @@ class UnitEncoder:
             keep = np.sort(keep[np.argsort(-hits[keep].astype(np.int32), kind="stable")[: self.max_units // 2]])
         begin = np.concatenate([np.zeros(1, np.int64), self.ends[:n]])[:-1]
         sizes = (self.ends[:n] - begin)[keep]
+        if sizes.sum() > self.max_ids // 2:
+            keep = keep[np.cumsum(sizes) <= self.max_ids // 2]
+            sizes = (self.ends[:n] - begin)[keep]
         before = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
         ids = self.ids[np.repeat(begin[keep] - before[:-1], sizes) + np.arange(before[-1])]
         number = np.full(n, -1, np.int32)
@@ -106,18 +131,42 @@ class UnitEncoder:
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many of them each text has (with `end` behind each, if given)."""
-        raw = [self.to_bytes(t or "") for t in texts]
+        ids, counts, held, size = [], np.zeros(len(texts), np.int64), [], 0
+
+        def flush() -> None:
+            nonlocal size
+            found, n = self._encode([x for _, x in held])
+            ids.append(found)
+            np.add.at(counts, [i for i, _ in held], n)
+            held.clear()
+            size = 0
+
+        for i, text in enumerate(texts):
+            for piece in pieces(self.to_bytes(text or "")):
+                if held and size + len(piece) > LONG:
+                    flush()
+                held.append((i, piece))
+                size += len(piece)
+        if held:
+            flush()
+        flat = ids[0] if len(ids) == 1 else np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        if end is None:
+            return flat, counts
+        return np.insert(flat, np.cumsum(counts), end), counts + 1
+
+    def _encode(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         data = self.prepare(np.frombuffer(b"\n".join(raw) + b"\n", np.uint8))
         bounds = np.cumsum([len(x) + 1 for x in raw])
-        if len(self.powers[0]) <= len(data):
-            self.powers = _powers(len(data) + 1)
+        powers = self.powers if len(data) < len(self.powers[0]) else _powers(len(data) + 1)
+        if len(data) <= LONG:
+            self.powers = powers
         start, stop = self.units(data, bounds)
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_SALT[data] * self.powers[0][: len(data)], out=sums[1:])
-        keys = (sums[stop] - sums[start]) * self.powers[1][start]
+        np.cumsum(self.salt[data] * powers[0][: len(data)], out=sums[1:])
+        keys = (sums[stop] - sums[start]) * powers[1][start]
         keys ^= (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         codes, distinct = pd.factorize(keys)
-        if len(self.keys) + len(distinct) > self.max_units:
+        if len(self.keys) + len(distinct) > self.max_units or self.used > self.max_ids:
             self.shrink()
         # sorted keys are looked up with near accesses only
         order = np.argsort(distinct)
@@ -140,6 +189,4 @@ class UnitEncoder:
         ids = self.ids[np.repeat(low[codes] - before[:-1], sizes) + np.arange(before[-1])]
         upto = before[np.searchsorted(start, bounds)]
         counts = np.diff(np.concatenate([np.zeros(1, np.int64), upto]))
-        if end is None:
-            return ids, counts
-        return np.insert(ids, upto, end), counts + 1
+        return ids, counts
