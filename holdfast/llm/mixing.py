@@ -13,7 +13,8 @@ per source where the limit falls, and only the documents of that last bucket are
 
 Defined cases: null text counts 0 words; null source is a source of its own and comes last; an empty
 table gives no rows; sources without words get target 0; repeated rows are documents of their own and
-share a place in the order; other columns of the input are ignored.
+share a place in the order, so rows with one doc_id and source are taken equally often, and an id in two
+sources is decided in each; other columns of the input are ignored, and may have any name.
 """
 
 from __future__ import annotations
@@ -84,43 +85,59 @@ def _border(rows: DataFrame, level: int) -> DataFrame:
     return first.select("_src", F.col("_b._bin").alias("_bin"), F.col("_b._rest").alias("_rest"))
 
 
-def mix(docs: DataFrame, scratch: Scratch, seed: str = SEED, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, extra=()) -> DataFrame:
+class Plan:
+    """What decides the repetitions of a row: small tables with one row for each source, or fewer."""
+
+    def __init__(self, docs: DataFrame, scratch: Scratch, seed: str = SEED, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS):
+        self.seed = seed
+        self.sized = scratch.save(docs.select("doc_id", F.col("source").alias("_src"), word_count(F.col("text")).alias("size"), self.key("doc_id").alias("_key")), "sized")
+        self.sources = scratch.save(sources(self.sized, weights, share, max_epochs), "sources")
+        inside = self._with(self.sized, self.sources)
+        self.borders = []
+        for level in range(2):
+            edge = scratch.save(_border(inside, level), f"border{level}")
+            self.borders.append(edge.select("_src", F.col("_bin").alias(f"_bin{level}"), F.col("_rest").alias(f"_rest{level}")))
+            inside = self._with(inside, self.borders[-1]).filter(_digit(level) == F.col(f"_bin{level}")).withColumn("need", F.col(f"_rest{level}"))
+        upto = F.sum("size").over(W.partitionBy("_src").orderBy("_key", "size").rowsBetween(W.unboundedPreceding, 0))
+        last = inside.withColumn("_upto", upto).filter(F.col("_upto") - F.col("size") / 2 <= F.col("need")).groupBy("_src").agg(F.max("_key").alias("_last"))
+        self.last = scratch.save(last, "last")
+
+    def key(self, doc_id) -> F.Column:
+        return F.md5(F.concat(F.lit(f"{self.seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
+
+    @staticmethod
+    def _with(rows: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
+        """rows with what `small` has for their source; a null source is one like others."""
+        return rows.join(small.withColumnRenamed("_src", "_s"), F.col("_src").eqNullSafe(F.col("_s")), how).drop("_s")
+
+    def decided(self, rows: DataFrame) -> DataFrame:
+        """rows with _src and _key -> and source_size, target, _reps. Rows with one doc_id and source are decided alike."""
+        rows = self._with(rows, self.sources)
+        for edge in self.borders:
+            rows = self._with(rows, edge, "left")
+        rows = self._with(rows, self.last, "left")
+        d0, d1 = _digit(0), _digit(1)
+        inner = (d0 == F.col("_bin0")) & ((d1 < F.col("_bin1")) | F.col("_bin1").isNull() | ((d1 == F.col("_bin1")) & (F.col("_key") <= F.col("_last"))))
+        # without a first border no prefix passes `need`: the fractional repetition takes the whole source, if it takes anything
+        more = F.when(F.col("need") <= 0, False).when(F.col("_bin0").isNull(), True).otherwise((d0 < F.col("_bin0")) | F.coalesce(inner, F.lit(False)))
+        return rows.withColumn("_reps", (F.col("whole") + F.when(more, 1).otherwise(0)).cast("long"))
+
+
+def mix(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """docs (doc_id, source, text) -> doc_id, size, source_size, target, taken, reps.
 
     taken = reps * size; reps are the whole repetitions plus one if the fractional one takes the document.
-    `extra` names further columns of docs to carry along.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = scratch.save(docs.select("doc_id", F.col("source").alias("_src"), word_count(F.col("text")).alias("size"), key.alias("_key")), "sized")
-    plan = scratch.save(sources(sized, weights, share, max_epochs), "sources")
-    rows = sized.join(plan.withColumnRenamed("_src", "_s"), F.col("_src").eqNullSafe(F.col("_s"))).drop("_s")
-    borders = []
-    inside = rows
-    for level in range(2):
-        edge = scratch.save(_border(inside, level), f"border{level}")
-        borders.append(edge)
-        names = edge.select(F.col("_src").alias("_s"), F.col("_bin").alias(f"_bin{level}"), F.col("_rest").alias(f"_rest{level}"))
-        inside = inside.join(names, F.col("_src").eqNullSafe(F.col("_s"))).drop("_s").filter(_digit(level) == F.col(f"_bin{level}")).withColumn("need", F.col(f"_rest{level}"))
-    upto = F.sum("size").over(W.partitionBy("_src").orderBy("_key", "size").rowsBetween(W.unboundedPreceding, 0))
-    last = inside.withColumn("_upto", upto).filter(F.col("_upto") - F.col("size") / 2 <= F.col("need")).groupBy("_src").agg(F.max("_key").alias("_last"))
-    last = scratch.save(last, "last")
-    for i, edge in enumerate(borders):
-        rows = rows.join(edge.select(F.col("_src").alias("_s"), F.col("_bin").alias(f"_bin{i}")), F.col("_src").eqNullSafe(F.col("_s")), "left").drop("_s")
-    rows = rows.join(last.select(F.col("_src").alias("_s"), "_last"), F.col("_src").eqNullSafe(F.col("_s")), "left").drop("_s")
-    d0, d1 = _digit(0), _digit(1)
-    inner = (d0 == F.col("_bin0")) & ((d1 < F.col("_bin1")) | F.col("_bin1").isNull() | ((d1 == F.col("_bin1")) & (F.col("_key") <= F.col("_last"))))
-    # without a first border no prefix passes `need`: the fractional repetition takes the whole source, if it takes anything
-    more = F.when(F.col("need") <= 0, False).when(F.col("_bin0").isNull(), True).otherwise((d0 < F.col("_bin0")) | F.coalesce(inner, F.lit(False)))
-    reps = (F.col("whole") + F.when(more, 1).otherwise(0)).cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", (reps * F.col("size")).alias("taken"), reps.alias("reps"), "_key")
+    plan = Plan(docs, scratch, **options)
+    return plan.decided(plan.sized).select("doc_id", "size", "source_size", "target", (F.col("_reps") * F.col("size")).alias("taken"), F.col("_reps").alias("reps"))
 
 
 def repeated(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """The mix itself: every row of docs as often as the plan takes it; all columns stay."""
-    taken = mix(docs.select("doc_id", "source", "text"), scratch, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("reps").alias("_reps"))
-    taken = scratch.save(taken.filter("_reps > 0"), "taken")
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_n", F.explode(F.expr("sequence(1, _reps)"))).select(*[docs[c] for c in docs.columns])
+    """The mix itself: every row of docs as often as the plan takes it; all columns stay, whatever their names."""
+    plan = Plan(docs, scratch, **options)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("source").alias("_src"), plan.key("doc_id").alias("_key"))
+    taken = plan.decided(rows).filter("_reps > 0").select("_row", F.explode(F.expr("sequence(1L, _reps)")))
+    return taken.select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
