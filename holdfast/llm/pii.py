@@ -7,10 +7,12 @@ words that repeat the same core and words of the same shape, each with its last
 Loopy message passing over these chains gives every word a label that fits the whole document. Runs
 of words labelled alike become spans where no pattern has one; spans of the patterns always stay.
 
-Training is piecewise, from the patterns' own labels in a bounded sample: a multinomial logistic model
-for the words, and log ratios of label pairs for neighbours, repeats and shapes. Word features are
-taken from the core of a word, without the marks around it, so words that marks have torn apart
-look like those that the patterns know.
+Training is piecewise, from the patterns' own labels in a sample: a multinomial logistic model for the
+words, and log ratios of label pairs for neighbours, repeats and shapes. The sample is taken by a hash of
+id and text, and comes to the driver as counts: how often each set of features has each label, and how often
+two labels are linked. So it does not depend on how rows are split over tasks. Word features are taken
+from the core of a word, without the marks around it, so words that marks have torn apart look like
+those that the patterns know.
 
 Defined cases: null text is empty and has no spans; spans count code points; very long texts stay
 whole, and patterns take linear time; repeated rows are labelled alike; an empty table trains nothing.
@@ -19,8 +21,8 @@ whole, and patterns take linear time; repeated rows are labelled alike; an empty
 from __future__ import annotations
 
 import hashlib
-import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import slices, table
+from holdfast.llm.common import slices, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents with digits or @ that training reads, about, and words of them that it uses at most.
-MAX_TRAIN, MAX_WORDS = 5_000, 200_000
+#: Documents with digits or @ that training reads, about, and different sets of features that it uses at most, by their hash.
+MAX_TRAIN, MAX_WORDS = 5_000, 50_000
 #: Least posterior of a label for a word to be part of an added span.
 SURE = 0.95
 ROUNDS = 8
@@ -145,46 +147,35 @@ def labels(words: Words, spans: list[tuple[str, int, int]]) -> list[int]:
     """0, or 1 + the kind of the pattern's span that a word touches."""
     out = [0] * len(words.start)
     for kind, a, b in spans:
-        low = np.searchsorted(words.end, a, "right")
-        for i in range(int(low), len(out)):
-            if words.start[i] >= b:
-                break
+        for i in range(bisect_right(words.end, a), bisect_left(words.start, b)):
             out[i] = 1 + KINDS.index(kind)
     return out
 
 
-def _ratios(pairs: list[tuple[int, int]], k: int) -> list[list[float]]:
-    counts = np.full((k, k), 0.5)
-    for x, y in pairs:
-        counts[x, y] += 1
+def _ratios(counts: np.ndarray) -> list[list[float]]:
+    counts = counts + 0.5
     return np.clip(np.log(counts * counts.sum() / (counts.sum(1)[:, None] * counts.sum(0)[None, :])), -3, 3).tolist()
 
 
-def fit(rows: list[tuple[list[list[int]], list[int], list, list, list]], steps: int = 300) -> dict | None:
-    """rows: features, labels, chain, repeats, similar of each document -> weights and pair potentials."""
-    feats = [f for r in rows for f in r[0]]
-    if not feats:
+def fit(keys: np.ndarray, labelled: np.ndarray, linked: np.ndarray, steps: int = 300) -> dict | None:
+    """Rows of features, how often each has each label, and label pairs of neighbours, repeats and shapes -> weights and pair potentials."""
+    if not len(keys):
         return None
     k = 1 + len(KINDS)
-    x, y = np.array(feats), np.eye(k)[[v for r in rows for v in r[1]]]
-    # equal words count together
-    keys, inverse = np.unique(x, axis=0, return_inverse=True)
-    sums = np.zeros((len(keys), k))
-    np.add.at(sums, inverse.ravel(), y)
-    sums = np.sqrt(sums.sum(1, keepdims=True)) * sums / sums.sum(1, keepdims=True)
-    design = np.zeros((len(keys), 1 << BITS))
-    np.add.at(design, (np.arange(len(keys))[:, None], keys), 1.0)
-    design[:, 0] = 1.0
+    sums = np.sqrt(labelled.sum(1, keepdims=True)) * labelled / labelled.sum(1, keepdims=True)
     weights, moment, square = np.zeros((1 << BITS, k)), 0.0, 0.0
+    flat, width = keys.ravel(), keys.shape[1]
     for t in range(1, steps + 1):
-        score = design @ weights
+        score = weights[keys].sum(1) + weights[0]
         odds = np.exp(score - score.max(1, keepdims=True))
         odds /= odds.sum(1, keepdims=True)
-        grad = design.T @ (odds * sums.sum(1, keepdims=True) - sums) / sums.sum() + 1e-4 * weights
+        error = odds * sums.sum(1, keepdims=True) - sums
+        grad = np.stack([np.bincount(flat, np.repeat(error[:, i], width), 1 << BITS) for i in range(k)], axis=1)
+        grad[0] += error.sum(0)
+        grad = grad / sums.sum() + 1e-4 * weights
         moment, square = 0.9 * moment + 0.1 * grad, 0.99 * square + 0.01 * grad * grad
         weights -= 0.1 * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
-    pairs = [[(r[1][i], r[1][j]) for r in rows for i, j in r[at]] for at in (2, 3, 4)]
-    return {"weights": weights, "pairs": [np.array(_ratios(p, k)) for p in pairs]}
+    return {"weights": weights, "pairs": [np.array(_ratios(p)) for p in linked]}
 
 
 def posteriors(words: Words, model: dict) -> np.ndarray:
@@ -212,6 +203,19 @@ def posteriors(words: Words, model: dict) -> np.ndarray:
     return np.exp(belief - np.logaddexp.reduce(belief, axis=1, keepdims=True))
 
 
+def _united(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the spans' union, each in rising order: what starts before an end and ends behind a start overlaps."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def find(text: str | None, model: dict | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Spans of the patterns, and those that the random field adds."""
     if not text or not _HINT.search(text):
@@ -227,6 +231,7 @@ def find(text: str | None, model: dict | None) -> tuple[list[tuple[str, int, int
     best[odds.max(1) < SURE] = 0
     held = np.array(labels(words, base)) > 0
     joins, added, at = set(words.chain), [], 0
+    starts, ends = _united(base)
     while at < len(best):
         end = at + 1
         if best[at]:
@@ -238,40 +243,49 @@ def find(text: str | None, model: dict | None) -> tuple[list[tuple[str, int, int
             for i, j in parts:
                 digits = sum(c.isdigit() for w in words.cores[i:j] for c in w)
                 fits = {"email": 0 < words.cores[i].find("@"), "ip": True, "card": digits >= 12, "phone": 7 <= digits <= 15}[kind]
-                if not held[i] and fits and not any(a < words.end[j - 1] and words.start[i] < b for _, a, b in base):
+                if not held[i] and fits and bisect_left(starts, words.end[j - 1]) == bisect_right(ends, words.start[i]):
                     added.append((kind, words.start[i], words.end[j - 1]))
         at = end
     return base, added
 
 
 def train(docs: DataFrame, max_docs: int = MAX_TRAIN, max_words: int = MAX_WORDS) -> dict | None:
-    """A model from a sample of docs (doc_id, text), taken evenly by a hash of the id. The driver gets at most `max_words` words."""
-    docs = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]"))
+    """A model from a sample of docs (doc_id, text). The driver gets at most `max_words` rows of counts, and the label pairs."""
+    docs = small_batches(docs).select("doc_id", "text").filter(F.col("text").rlike("[0-9@]"))
     total = docs.count()
     if total > max_docs:
-        docs = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(max_docs / total * 1_000_000))
+        docs = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_000)) < int(max_docs / total * 1_000_000_000))
+    k = 1 + len(KINDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = max_words
+        linked = np.zeros((3, k, k), np.int64)
+
+        def out(rows: dict[tuple[int, ...], list[int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([list(x) for x in rows], pa.list_(pa.int32())), pa.array(list(rows.values()), pa.list_(pa.int64()))], ["features", "counts"])
+
         for batch in slices(batches, "text"):
-            out = []
+            rows: dict[tuple[int, ...], list[int]] = {}
             for text in batch.column("text").to_pylist():
                 words = Words(text)
-                left -= len(words.start)
-                if left < 0:
-                    break
-                out.append(json.dumps([words.features, labels(words, base_spans(text)), words.chain, words.repeats, words.similar]))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["row"])
-
-    rows, words = [], 0
-    for row in docs.mapInArrow(run, "row string").toLocalIterator():
-        found = json.loads(row["row"])
-        words += len(found[1])
-        if words > max_words:
-            break
-        rows.append(found)
-    rows.sort()
-    return fit(rows)
+                own = labels(words, base_spans(text))
+                for feature, label in zip(words.features, own, strict=True):
+                    rows.setdefault(tuple(feature), [0] * k)[label] += 1
+                for at, pairs in enumerate((words.chain, words.repeats, words.similar)):
+                    for i, j in pairs:
+                        linked[at, own[i], own[j]] += 1
+            yield out(rows)
+        yield out({(-1 - at,): linked[at].ravel().tolist() for at in range(3)})
+
+    found = docs.mapInArrow(run, "features array<int>, counts array<long>").select("features", F.posexplode("counts").alias("label", "n"))
+    sums = found.groupBy("features", "label").agg(F.sum("n").alias("n"))
+    rows = sums.groupBy("features").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("counts"))  # a few labels to a row
+    rows = rows.withColumn("own", F.size("features") > 1).orderBy("own", F.xxhash64("features"), "features").limit(3 + max_words).collect()
+    linked = np.zeros((3, k, k))
+    for r in rows:
+        if not r["own"]:
+            linked[-1 - r["features"][0]] = np.array([r["counts"][i] for i in range(k * k)]).reshape(k, k)
+    own = sorted((r["features"], r["counts"]) for r in rows if r["own"]) if rows else []
+    return fit(np.array([x for x, _ in own], np.int64), np.array([[c[i] for i in range(k)] for _, c in own], np.float64), linked)
 
 
 def annotate(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -289,7 +303,7 @@ def annotate(docs: DataFrame, model: dict | None) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -315,7 +329,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array([n if t is None else len(t) for n, t in zip(columns["n_chars"].to_pylist(), texts, strict=True)], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
