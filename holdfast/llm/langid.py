@@ -14,12 +14,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from holdfast.llm.common import slices, table
+from holdfast.llm.common import slices, small_batches, table
 from holdfast.llm.units import release
 
 BITS = 16
@@ -28,8 +29,8 @@ ORDERS = (1, 2, 3)
 MAX_TRAIN = 20_000
 #: Rows of a language that are learned at least, if it has them.
 LEAST = 100
-#: Bytes that the broadcast matrix may have: 2 ** BITS rows of 4 bytes for each language.
-MAX_MATRIX = 256 << 20
+#: Bytes that the broadcast matrix may have: 2 ** BITS rows of 4 bytes for each language, so 256 languages.
+MAX_MATRIX = 64 << 20
 ALPHA = 0.1
 UNKNOWN = "und"
 #: Code points of a text that are hashed at once.
@@ -72,12 +73,20 @@ def _counter(index: dict[str, int]):
     return count
 
 
+def _column(counts: pd.DataFrame) -> pd.DataFrame:
+    """The log-probabilities of one language, from at most 2 ** BITS counts."""
+    sums = np.zeros(1 << BITS)
+    sums[counts["slot"]] = counts["n"]
+    logs = np.log((sums + ALPHA) / (sums.sum() + ALPHA * (1 << BITS)))
+    return pd.DataFrame({"row": counts["row"].iloc[:1], "logs": [logs.astype(np.float32).tobytes()]})
+
+
 def train(rows: DataFrame, max_rows: int = MAX_TRAIN) -> tuple[list[str], np.ndarray, np.ndarray]:
     """rows (doc_id, text, lang) -> languages by code point, log-probability matrix, log priors.
 
-    The driver gets the languages and at most languages * 2 ** BITS counts, never documents.
+    The driver gets the languages and a column of the matrix for each, never documents or counts.
     """
-    rows = rows.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = small_batches(rows).select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_MATRIX // (4 << BITS) + 1).collect()}
     langs = sorted(sizes)
     if len(langs) * (4 << BITS) > MAX_MATRIX:
@@ -93,12 +102,12 @@ def train(rows: DataFrame, max_rows: int = MAX_TRAIN) -> tuple[list[str], np.nda
         part = F.element_at(F.create_map(*[F.lit(v) for x in langs for v in (x, parts[x])]), F.col("lang"))
         rows = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_000)) < part)
     counted = rows.select("text", "lang").mapInArrow(_counter({x: i for i, x in enumerate(langs)}), "row int, slot int, n long")
-    sums = np.zeros((len(langs), 1 << BITS))
     docs = np.array([1.0 + sizes[x] for x in langs])
-    found = counted.groupBy("row", "slot").agg(F.sum("n").alias("n")).toPandas()
-    sums[found["row"], found["slot"]] = found["n"]
-    logs = np.log((sums + ALPHA) / (sums.sum(axis=1, keepdims=True) + ALPHA * (1 << BITS)))
-    return langs, logs.T.astype(np.float32).copy(), np.log(docs / docs.sum())
+    matrix[:] = np.float32(-BITS * np.log(2.0))  # a language whose sampled texts have no n-gram tells nothing
+    columns = counted.groupBy("row", "slot").agg(F.sum("n").alias("n")).groupBy("row").applyInPandas(_column, "row int, logs binary")
+    for r in columns.toLocalIterator():
+        matrix[:, r["row"]] = np.frombuffer(r["logs"], np.float32)
+    return langs, matrix, np.log(docs / docs.sum())
 
 
 def classify(text: str | None, langs: list[str], matrix: np.ndarray, priors: np.ndarray) -> tuple[str, float]:
@@ -124,7 +133,7 @@ def annotate(docs: DataFrame, model) -> DataFrame:
             found = [classify(x, *sent.value) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names)
 
-    return docs.mapInArrow(score, schema)
+    return small_batches(docs).mapInArrow(score, schema)
 
 
 def held_out() -> F.Column:
