@@ -7,7 +7,7 @@ grows with them up to a bound) and differ in a keyed permutation. A pair must sh
 become a candidate, and in each of the others before its sets are compared. Results are exact, up to
 clashes of 64-bit hashes of shingles.
 
-Copies: equal sets form a class, and only its smallest doc_id is joined. Large groups of near copies:
+Copies: equal sets form a class, named by 64 bits of a digest of the set, and one row of it is joined. Large groups of near copies:
 first, each prefix token proposes pairs with the document that has the fewest rarer ones; components of
 what holds are found; then only pairs of different components, which share a token, are left to propose, so
 a group that hangs together is never expanded into pairs. Sizes and the places of a token in both
@@ -18,8 +18,10 @@ Text is read again rather than kept: prefixes are a tenth of the sets, and full
 documents of candidate pairs only (found through a Bloom filter of bounded size, then joined exactly).
 
 Defined cases: null or wordless text is an empty set, which links with nothing; fewer words than a
-shingle count as one; rows with one doc_id are one document in links; repeated rows each keep a row; a
-null doc_id keeps its row and stays alone unless its text has copies; other columns are ignored.
+shingle count as one; every row is a document of its own, also where a doc_id comes twice, and keeps a row;
+component_id is the smallest doc_id that is not null among what a row reaches, and null where there is none;
+very long texts stay whole, hashed by parts, and share a block with fewer others; other columns are ignored.
+`keep_one` leaves one row of each group, also of repeated rows, and all rows without words.
 """
 
 from __future__ import annotations
@@ -32,12 +34,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import NUMPY_BYTES, Scratch, slices, table
+from holdfast.llm.common import NUMPY_BYTES, Scratch, slices, small_batches, table
 from holdfast.llm.graph import components
-from holdfast.llm.units import _SALT, _powers, release
+from holdfast.llm.units import _SALT, _powers, pieces, release
 
 #: Counters of the sketch: their number as bits, within bounds, how many go into one row of it, shingles
 #: to a counter, and bytes of text to a shingle, about.
@@ -48,8 +51,11 @@ BLOOM_BITS = 1 << 28
 
 #: Slots of a set's outline.
 FOLDS = 256
-#: Documents of a token that are compared in one block, on each side.
-BLOCK = 128
+#: Documents of a token that are compared in one block, on each side, and bytes of their sets, about.
+BLOCK, BLOCK_BYTES = 128, 16 << 20
+
+#: Bytes of a text whose words are hashed at once.
+PART = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -69,20 +75,28 @@ class Shingler:
         release()
         self.width, self.powers = width, _powers(1 << 20)
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all shingles in order, with repeats, and how many each text has."""
-        raw = [(t or "").encode("utf-8", "replace") for t in texts]
+    def _words(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and how many each text has."""
         data = _LOWER[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
         bounds = np.cumsum([len(x) + 1 for x in raw])
-        if len(self.powers[0]) <= len(data):
-            self.powers = _powers(len(data) + 1)
+        powers = self.powers if len(data) < len(self.powers[0]) else _powers(len(data) + 1)
         edges = np.diff(np.concatenate([[True], _SPACE[data]]).astype(np.int8))
         start, stop = np.nonzero(edges == -1)[0], np.nonzero(edges == 1)[0]
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_SALT[data] * self.powers[0][: len(data)], out=sums[1:])
-        words = _mix((sums[stop] - sums[start]) * self.powers[1][start] + (stop - start).astype(np.uint64))
-        upto = np.searchsorted(start, bounds)
-        sizes = np.diff(np.concatenate([[0], upto]))
+        np.cumsum(_SALT[data] * powers[0][: len(data)], out=sums[1:])
+        words = _mix((sums[stop] - sums[start]) * powers[1][start] + (stop - start).astype(np.uint64))
+        return words, np.diff(np.concatenate([[0], np.searchsorted(start, bounds)]))
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all shingles in order, with repeats, and how many each text has."""
+        raw = [(t or "").encode("utf-8", "replace") for t in texts]
+        if sum(map(len, raw)) <= PART:
+            words, sizes = self._words(raw)
+        else:
+            parts = [[self._words([piece])[0] for piece in pieces(x, PART)] for x in raw]
+            sizes = np.array([sum(map(len, x)) for x in parts])
+            words = np.concatenate([w for x in parts for w in x])
+        upto = np.cumsum(sizes)
         # a shingle starts at each word that has enough words of its text behind it; short texts have one, of all words
         made = np.where(sizes >= self.width, sizes - self.width + 1, (sizes > 0).astype(np.int64))
         first = np.repeat(upto - sizes, made) + np.arange(made.sum()) - np.repeat(np.cumsum(made) - made, made)
@@ -109,7 +123,8 @@ def frequency_levels(docs: DataFrame, width: int, scratch: Scratch) -> np.ndarra
     bits = sketch_bits(docs)
 
     def pack(sums: np.ndarray) -> bytes:
-        return zlib.compress(sums.astype("<u4").tobytes(), 1)
+        # a counter stays at its largest value rather than start anew
+        return zlib.compress(np.minimum(sums, 0xFFFFFFFF).astype("<u4").tobytes(), 1)
 
     def unpack(packed: bytes) -> np.ndarray:
         return np.frombuffer(zlib.decompress(packed), "<u4").astype(np.int64)
@@ -161,31 +176,30 @@ def _level(own: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return levels[_slot(own, len(levels).bit_length() - 1)].astype(np.uint64) << np.uint64(56)
 
 
-def prefix_sets(docs: DataFrame, levels: np.ndarray, width: int, share: tuple[int, int]) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n, digest (null for an empty set), prefix of the first order."""
+def prefix_sets(docs: DataFrame, sent: Broadcast, width: int, share: tuple[int, int]) -> DataFrame:
+    """docs (row, doc_id, h, text) and the broadcast levels -> row, doc_id, h, n, node (the class of its set; null for an empty one), prefix of the first order."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, levels = Shingler(width), sent.value
         for batch in slices(batches, "text", NUMPY_BYTES):
             found, made = make(batch.column("text").to_pylist())
-            sizes, digests, firsts, at = [], [], [], 0
+            sizes, nodes, firsts, at = [], [], [], 0
             for m in made.tolist():
                 own = np.unique(found[at : at + m])
                 at += m
                 sizes.append(len(own))
-                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if m else None)
+                nodes.append(int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True) if m else None)
                 firsts.append(prefix(own, _level(own, levels), 0, share) if m else own)
             ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in firsts])]), pa.int32())
             tokens = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(firsts).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), tokens], ["doc_id", "n", "digest", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "h")), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), tokens], ["row", "doc_id", "h", "n", "node", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n int, digest binary, tokens array<long>")
+    return docs.mapInArrow(run, f"row long, doc_id {kind}, h long, n int, node long, tokens array<long>")
 
 
 def _slots(ids: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(_mix(ids.astype(np.int64).view(np.uint64) + np.uint64(k)) % np.uint64(bits)).astype(np.int64) for k in (1, 2, 3)]
+    return [(_mix(ids.view(np.uint64) + np.uint64(k)) % np.uint64(bits)).astype(np.int64) for k in (1, 2, 3)]
 
 
 def outline(own: np.ndarray, levels: np.ndarray, share: tuple[int, int]) -> bytes:
@@ -196,8 +210,8 @@ def outline(own: np.ndarray, levels: np.ndarray, share: tuple[int, int]) -> byte
     return np.concatenate([folds.astype(np.uint32), *rest]).tobytes()
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, width: int, pack) -> DataFrame:
-    """doc_id, tokens (what `pack` makes of the sorted set) of the documents in wanted (doc_id).
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int, pack) -> tuple[DataFrame, Broadcast]:
+    """node, tokens (what `pack` makes of the sorted set) of the rows of docs (h, text) that are in wanted (node, h); and what is to be freed with it.
 
     A Bloom filter of bounded size spares most other texts the work; the join then is exact.
     """
@@ -209,38 +223,36 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int, pack) -> DataFrame:
         seen = False
         for batch in batches:
             seen = True
-            for slots in _slots(batch.column("doc_id").to_numpy(zero_copy_only=False), bits):
+            for slots in _slots(batch.column("h").to_numpy(), bits):
                 held[slots] = True
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(held).tobytes(), 1)], pa.binary())], ["bits"])
 
     bloom = np.zeros(bits // 8, np.uint8)
-    for row in wanted.select("doc_id").coalesce(8).mapInArrow(collect_bits, "bits binary").toLocalIterator():
+    for row in wanted.select("h").coalesce(8).mapInArrow(collect_bits, "bits binary").toLocalIterator():
         bloom |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(bloom)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, held = Shingler(width), sent.value
         for batch in batches:
-            slots = _slots(batch.column("doc_id").to_numpy(zero_copy_only=False), bits)
+            slots = _slots(batch.column("h").to_numpy(), bits)
             keep = np.all([held[s >> 3] >> (7 - (s & 7)).astype(np.uint8) & 1 for s in slots], axis=0)
             for part in slices(iter([batch.filter(pa.array(keep.astype(bool)))]), "text", NUMPY_BYTES):
                 found, made = make(part.column("text").to_pylist())
                 ends = np.cumsum(made)
                 sets = [pack(np.unique(found[a:b])) for a, b in zip((ends - made).tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(sets, pa.binary())], ["h", "tokens"])
 
-    known = docs.select("doc_id", "text").filter("doc_id is not null")
-    made = known.mapInArrow(run, f"doc_id {kind}, tokens binary")
-    return made.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    made = docs.select("h", "text").mapInArrow(run, "h long, tokens binary")
+    return made.join(wanted, "h").dropDuplicates(["node"]).select("node", "tokens"), sent
 
 
 class Join:
-    """One run of the join over docs (doc_id, text)."""
+    """One run of the join over docs (doc_id, text). A row's hash h tells rows apart that differ in id or text."""
 
     def __init__(self, docs: DataFrame, scratch: Scratch, width: int, share: tuple[int, int]):
-        self.docs, self.scratch, self.width, self.share = docs.select("doc_id", "text"), scratch, width, share
+        self.docs, self.scratch, self.width, self.share = small_batches(docs).select("doc_id", "text", row_hash().alias("h")), scratch, width, share
 
     def _fits(self, na: str, ia: str, nb: str, ib: str) -> F.Column:
         """Sizes, and the places of a token that is the first in common, allow the similarity."""
@@ -250,24 +262,26 @@ class Join:
         return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (most * (num + den) >= num * (na + nb))
 
     def _meet(self, pairs: DataFrame, name: str, pack, compare) -> DataFrame:
-        """pairs (a, b, token, g) -> those that `compare` keeps, given the pairs of a block and the packed sets by doc_id.
+        """pairs (a, b, token, g) -> those that `compare` keeps, given the pairs of a block and the packed sets by node.
 
-        Pairs meet in blocks of the documents that share their token, so that a set is sent once to
-        a block and not once for each pair.
+        Pairs meet in blocks of the documents that share their token (g on each side), so that a set is
+        sent once to a block and not once for each pair.
         """
-        scratch, kind = self.scratch, self.docs.schema["doc_id"].dataType.simpleString()
-        block = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("g") / BLOCK)).cast("int")
+        scratch = self.scratch
+        block = lambda c: F.pmod(F.xxhash64(c), F.col("g")).cast("int")
         keys = ["token", "i", "j"]
         placed = scratch.save(pairs.select("token", block("a").alias("i"), block("b").alias("j"), "a", "b", "g"), f"{name}-placed")
-        members = scratch.save(placed.select(*keys, F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-members")
-        wanted = scratch.save(members.select("doc_id").distinct(), f"{name}-wanted")
-        sets = scratch.save(sets_of(self.docs, wanted, self.width, pack), f"{name}-sets")
+        members = scratch.save(placed.select(*keys, F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-members")
+        wanted = scratch.save(self.classes.select("node", "h").join(members.select("node").distinct(), "node", "left_semi"), f"{name}-wanted")
+        sets, sent = sets_of(self.docs, wanted, self.width, pack)
+        sets = scratch.save(sets, f"{name}-sets")
+        sent.destroy()
 
         def run(pairs: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-            return pairs[compare(pairs, dict(zip(members["doc_id"].tolist(), members["tokens"], strict=True)))][["a", "b", "token", "g"]]
+            return pairs[compare(pairs, dict(zip(members["node"].tolist(), members["tokens"], strict=True)))][["a", "b", "token", "g"]]
 
-        right = members.join(sets, "doc_id").groupBy(*keys)
-        out = placed.groupBy(*keys).cogroup(right).applyInPandas(run, f"a {kind}, b {kind}, token long, g long")
+        right = members.join(sets, "node").groupBy(*keys)
+        out = placed.groupBy(*keys).cogroup(right).applyInPandas(run, "a long, b long, token long, g long")
         out = scratch.save(out, f"{name}-met")
         scratch.drop(*(f"{name}-{x}" for x in ("placed", "members", "wanted", "sets")))
         return out
@@ -279,7 +293,7 @@ class Join:
         two sets have no more tokens in common than the smaller count of each slot, added up.
         """
         num, den = self.share
-        share, sent = self.share, self.scratch.spark.sparkContext.broadcast(self.levels)
+        share, sent = self.share, self.levels
 
         def sieve(pairs: pd.DataFrame, packed: dict) -> np.ndarray:
             own = {d: np.frombuffer(x, np.uint32) for d, x in packed.items()}
@@ -311,7 +325,7 @@ class Join:
         return self._meet(passed, f"{name}-exact", lambda own: own.tobytes(), exact).select("a", "b")
 
     def _across(self, placed: DataFrame) -> DataFrame:
-        """placed (token, g, doc_id, n, i, c) -> pairs (a, b, token, g) of different components that may link.
+        """placed (token, g, node, n, i, c) -> pairs (a, b, token, g) of different components that may link.
 
         Sizes and places are compared first, then those of whole components, and documents last:
         neither a large component nor documents that differ too much are expanded into pairs.
@@ -327,8 +341,8 @@ class Join:
         classes = groups.select("token", "c", "n", "i").distinct()
         x, y = classes.toDF("token", "ca", "na", "ia"), classes.toDF("token", "cb", "nb", "ib")
         met = x.join(y, "token").filter((F.col("ca") < F.col("cb")) & self._fits("na", "ia", "nb", "ib"))
-        a = groups.select("token", F.col("c").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("doc_id").alias("x"), "g")
-        b = groups.select("token", F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("doc_id").alias("y"))
+        a = groups.select("token", F.col("c").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("node").alias("x"), "g")
+        b = groups.select("token", F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("node").alias("y"))
         pairs = met.join(a, ["token", "ca", "na", "ia"]).join(b, ["token", "cb", "nb", "ib"])
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "token", "g")
 
@@ -338,50 +352,69 @@ class Join:
         return pairs.groupBy("a", "b").agg(F.min(F.struct("token", "g")).alias("t")).select("a", "b", "t.token", "t.g")
 
     def run(self) -> DataFrame:
-        """doc_id, n_shingles, component_id for every row."""
+        """doc_id, h, n (size of the set), c (the group; null for an empty set) and top (its smallest doc_id) for every row."""
         scratch = self.scratch
-        self.levels = frequency_levels(self.docs, self.width, scratch)
-        made = scratch.save(prefix_sets(self.docs, self.levels, self.width, self.share), "prefixes")
-        sets = scratch.save(made.select("doc_id", "n", "digest"), "sets")
-        classes = scratch.save(sets.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep")), "classes")
-        reps = classes.filter("rep is not null").select(F.col("rep").alias("doc_id"), F.col("digest").alias("_d"))
-        nodes = made.filter("n > 0").join(reps, "doc_id").filter("digest = _d").select("doc_id", "n", "tokens")
-        tokens = scratch.save(nodes.select(F.posexplode("tokens").alias("i", "token"), "doc_id", "n"), "tokens")
+        self.levels = scratch.spark.sparkContext.broadcast(frequency_levels(self.docs, self.width, scratch))
+        made = scratch.save(prefix_sets(self.docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "h", "text"), self.levels, self.width, self.share), "prefixes")
+        sets = scratch.save(made.select("doc_id", "h", "n", "node"), "sets")
+        classes = made.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct("row", "h")).alias("first"))
+        self.classes = scratch.save(classes.select("node", "rep", "first.row", "first.h"), "classes")
+        nodes = made.join(self.classes.select("row"), "row", "left_semi").select("node", "n", "tokens")
+        tokens = scratch.save(nodes.select(F.posexplode("tokens").alias("i", "token"), "node", "n"), "tokens")
         scratch.drop("prefixes")
         # the lead of a token is the document that has the fewest rarer tokens: the middle of a group of near copies
-        counts = tokens.groupBy("token").agg(F.min(F.struct("i", "doc_id", "n")).alias("lead"), F.count(F.lit(1)).alias("g"))
-        counts = scratch.save(counts.filter("g > 1"), "counts")
+        m = F.count(F.lit(1))
+        g = F.greatest(F.ceil(m / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("long")
+        counts = tokens.groupBy("token").agg(F.min(F.struct("i", "node", "n")).alias("lead"), m.alias("m"), g.alias("g"))
+        counts = scratch.save(counts.filter("m > 1").drop("m"), "counts")
         shared = scratch.save(tokens.join(counts, "token"), "shared")
         scratch.drop("tokens", "counts")
-        first = shared.filter(F.col("doc_id") != F.col("lead.doc_id")).filter(self._fits("n", "i", "lead.n", "lead.i"))
-        first = first.select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b"), "token", "g")
+        first = shared.filter(F.col("node") != F.col("lead.node")).filter(self._fits("n", "i", "lead.n", "lead.i"))
+        first = first.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"), "token", "g")
         first = scratch.save(self._once(first), "pairs1")
         links1 = self._verified(first, "first")
         comp = components(links1, scratch, "comp1")
-        placed = shared.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "g", "doc_id", "n", "i", F.coalesce("component", "doc_id").alias("c"))
+        placed = shared.join(comp, "node", "left").select("token", "g", "node", "n", "i", F.coalesce("component", "node").alias("c"))
         placed = scratch.save(placed, "placed")
         scratch.drop("shared")
         second = scratch.save(self._once(self._across(placed)).join(first, ["a", "b"], "left_anti"), "pairs2")
         scratch.drop("placed", "open", "kinds", "groups")
         links2 = self._verified(second, "second")
+        self.levels.destroy()
         comp = components(links1.union(links2), scratch, "comp2")
-        of_class = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("_digest"), F.col("n").alias("_n"), F.coalesce("component", "rep").alias("_c"))
-        of_class = scratch.save(of_class, "components")
-        # empty sets have no class; a key of their own spreads them over tasks
-        narrow = sets.select("doc_id", "n", F.coalesce("digest", F.concat(F.lit(b"\0"), F.col("doc_id").cast("string").cast("binary"))).alias("digest"))
-        joined = narrow.join(of_class, (F.col("digest") == F.col("_digest")) & (F.col("n") == F.col("_n")), "left")
-        return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("_c", "doc_id").alias("component_id"))
+        of_class = scratch.save(self.classes.join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c")), "of_class")
+        tops = of_class.groupBy("c").agg(F.min("rep").alias("top"))
+        named = scratch.save(of_class.join(tops, "c").select("node", "c", "top"), "named")
+        scratch.only("sets", "named")
+        # empty sets have no class; apart from the join they are no hot key of it
+        empty = sets.filter("node is null").select("doc_id", "h", "n", F.lit(None).cast("long").alias("c"), F.col("doc_id").alias("top"))
+        return sets.filter("node is not null").join(named, "node").select("doc_id", "h", "n", "c", "top").unionByName(empty)
+
+
+def row_hash() -> F.Column:
+    return F.xxhash64("doc_id", "text")
 
 
 def join(docs: DataFrame, scratch: Scratch, width: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
-    return Join(docs, scratch, width, share).run()
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id for every row."""
+    return Join(docs, scratch, width, share).run().select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("top").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, width: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
-    """Pipeline stage: of each group of linked documents the one with the smallest doc_id; all columns stay."""
-    found = join(docs, scratch, width, share)
-    gone = scratch.save(found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_hf_id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == F.col("_hf_id"), "left_anti")
+    """Pipeline stage: of each group of linked documents the one with the smallest doc_id (a null one comes last); all columns stay."""
+    rows = scratch.save(Join(docs, scratch, width, share).run().filter("c is not null").groupBy("c", "doc_id", "h").agg(F.count(F.lit(1)).alias("times")), "rows")
+    kept = rows.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h", "times")).alias("x")).select("x.h", "x.times")
+    kept = scratch.save(kept, "kept")
+    gone = rows.select("h").join(kept.select("h"), "h", "left_anti").distinct()
+    # of equal rows that stay one is chosen, with a value for all other columns together
+    gone = scratch.save(gone.unionByName(kept.filter("times > 1").select("h")), "gone")
+    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), row_hash().alias("h"))
+    out = hashed.join(gone, "h", "left_anti").select("_row.*")
+    repeated = scratch.save(kept.filter("times > 1").select("h"), "repeated")
+    if repeated.limit(1).count():
+        out = out.unionByName(hashed.join(repeated, "h", "left_semi").groupBy("h").agg(F.min("_row").alias("_row")).select("_row.*"))
+    scratch.only("gone", "repeated")
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:
