@@ -5,7 +5,8 @@ stored once: the capture with the largest page_id is the response, the others ar
 whose HTTP head still tells the length. Index: lines sorted by reversed-host URL key and page_id, cut
 into compressed blocks; a sparse directory has the first line of each block. A lookup is a binary
 search in the directory, a range read of one block, a binary search in it, and a range read of one
-record. The directory is bounded: blocks grow with the input so that it stays under MAX_DIRECTORY rows.
+record. Reading is dealt out by bytes of the archives, and a revisit gets its payload's length and digest
+from the response that it refers to, which is read and checked. The directory is bounded: blocks grow with the input so that it stays under MAX_DIRECTORY rows.
 
 Defined cases: null html is an empty payload; a null url has the empty key; equal urls are told apart
 by page_id; repeated rows with the largest page_id are all responses, and each keeps a row, though the
@@ -26,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import Scratch, slices, table
+from holdfast.llm.common import Scratch, slices, small_batches, table
 from holdfast.llm.files import Writer, reading
 
 BLOCK_LINES = 1000
 MAX_DIRECTORY = 200_000
 ROLL_BYTES = 256 << 20
+#: Bytes of the archives that a task reads, about.
+READ_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "key string, page_id {id}, file string, offset long, length long, type string"
@@ -89,7 +92,7 @@ def _mark(key: str, page: int | None) -> tuple[bytes, bool, int]:
 
 def write(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """pages (page_id, url, html) -> index entries; archives go to the scratch folder `warc`."""
-    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    pages = small_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     first = scratch.save(pages.groupBy("digest").agg(F.max("page_id").alias("first")), "first")
     folder = scratch.path("warc")
 
@@ -203,16 +206,33 @@ def read(places: DataFrame, scratch: Scratch) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names)
 
     kind = places.schema["page_id"].dataType.simpleString()
-    ordered = places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return ordered.mapInArrow(run, f"page_id {kind}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
+    # a number of our own, and a place's stretch of its file as the key: the rows are few and small, and would be put together into one task
+    total = places.agg(F.sum("length").alias("n")).first()["n"] or 0
+    stretch = F.floor(F.col("offset") / READ_BYTES).alias("stretch")
+    ordered = places.repartition(max(1, -(-total // READ_BYTES)), "file", stretch).sortWithinPartitions("file", "offset")
+    records = scratch.save(ordered.mapInArrow(run, f"page_id {kind}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {kind}"), "records")
+    return resolved(records)
+
+
+def resolved(records: DataFrame) -> DataFrame:
+    """records with the length and digest of what revisits refer to; one without its response, or with another digest, is an error."""
+    whole = records.filter("record_type = 'response'")
+    found = whole.filter("page_id is not null").select(F.col("page_id").alias("_page"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest")).distinct()
+    revisits = records.filter("record_type = 'revisit'").join(found, F.col("refers_to") == F.col("_page"), "left")
+    wrong = F.concat(F.lit("page "), F.col("page_id").cast("string"), F.lit(" revisits a response that does not have its payload"))
+    fits = F.coalesce((F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), F.lit(False))
+    digest = F.when(fits, F.col("_digest")).otherwise(F.raise_error(wrong))
+    return whole.unionByName(revisits.select("page_id", "url", F.col("_bytes").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to"))
 
 
 def archive(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """Write, index, look every page up by its key, and read the records back."""
     entries = write(pages, scratch)
     directory = index(entries, scratch)
-    places = lookup(entries.select("key", "page_id"), directory, scratch)
-    return read(places, scratch)
+    places = scratch.save(lookup(entries.select("key", "page_id"), directory, scratch), "places")
+    found = read(places, scratch)
+    scratch.drop("first", "entries", "directory", "places")
+    return found
 
 
 def query(spark, sf_dir: str) -> DataFrame:
