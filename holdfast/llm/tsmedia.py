@@ -4,11 +4,14 @@ A payload is stored as one program with one private-data stream. Every PES packe
 random-access point: an adaptation field with the random-access flag and a PCR, and a PTS that counts
 one tick per stored byte at 90 kHz, so timestamps index the samples. Reading goes the other way:
 the program association table names the map table, that one names the stream, continuity counters are
-checked packet by packet, PES packets are put together, and the stored length cuts the stuffing.
-All packets of a stream are laid out and read as numpy rows; no loop runs over packets.
+checked packet by packet, adaptation fields are skipped, and PES packets are put together. A unit that
+does not fill its last packet is stuffed there as the standard says: by an adaptation field in front of
+the payload. All packets of a stream are laid out and read as numpy rows; no loop runs over packets.
+Streams are stored as a binary column of a table, and read from there.
 
 Defined cases: null text is stored like an empty one (64 zero bytes); very long texts are split over
-many PES packets and stay whole; equal texts give equal bytes; a damaged stream raises ValueError.
+many PES packets and stay whole; repeated rows and equal texts give equal bytes; an empty table gives no
+rows; other columns are ignored; a damaged stream raises ValueError.
 """
 
 from __future__ import annotations
@@ -20,9 +23,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from holdfast.llm.common import slices, table
+from holdfast.llm.common import Scratch, slices, small_batches, table
 
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, DATA_PID = 0x0000, 0x0100, 0x0101
@@ -102,9 +104,27 @@ def mux(payload: bytes) -> bytes:
     used = (units - 1) * UNIT_PACKETS + 1 + max(0, -(-(last - (FIRST - PES_HEADER)) // NEXT))
     out = out[:used].copy()
     out[:, 3] |= (np.arange(used) & 15).astype(np.uint8)
+    _stuff(out[-1], last)
     return HEAD + out.tobytes()
 
 
+def _stuff(packet: np.ndarray, last: int) -> None:
+    """Move the payload of the last packet, of a unit with `last` bytes, to its end, and fill up the adaptation field before it."""
+    if last <= FIRST - PES_HEADER:
+        spare, body, field = FIRST - PES_HEADER - last, packet[12 : 12 + PES_HEADER + last].copy(), packet[4:12].copy()
+    else:
+        held = (last - (FIRST - PES_HEADER) - 1) % NEXT + 1
+        spare, body, field = NEXT - held, packet[4 : 4 + held].copy(), np.zeros(0, np.uint8)
+    if not spare:
+        return
+    if not len(field):
+        packet[3] |= 0x20
+        field = np.array([0, 0][: min(2, spare)], np.uint8)  # its length, and flags if there is room for them
+        spare -= len(field)
+    field[0] = len(field) - 1 + spare
+    packet[4:] = np.concatenate([field, np.full(spare, 0xFF, np.uint8), body])
+
+
 def _table(rows: np.ndarray, pid: int, table_id: int) -> bytes:
     mine = rows[(((rows[:, 1] & 0x1F).astype(np.int32) << 8) | rows[:, 2]) == pid]
     if not len(mine):
@@ -134,20 +154,24 @@ def demux(stream: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     starts = np.nonzero(mine[:, 1] & 0x40)[0]
     if not len(starts) or starts[0]:
         raise ValueError("stream starts inside a PES packet")
-    heads = mine[starts].astype(np.int64)
-    if (heads[:, 12:16] != np.array([0, 0, 1, PRIVATE_ID])).any() or (heads[:, 3] & 0x20 == 0).any():
+    if (mine[:, 3] & 0x10 == 0).any():
+        raise ValueError("a packet without payload")
+    # where the payload begins: behind the header, and the adaptation field if there is one
+    begin = 4 + np.where(mine[:, 3] & 0x20, mine[:, 4].astype(np.int64) + 1, 0)
+    if (begin > PACKET).any() or (begin[starts] > PACKET - PES_HEADER).any():
+        raise ValueError("an adaptation field is too long")
+    heads = np.take_along_axis(mine[starts], begin[starts, None] + np.arange(PES_HEADER), axis=1).astype(np.int64)
+    if (heads[:, :4] != np.array([0, 0, 1, PRIVATE_ID])).any() or (mine[starts, 3] & 0x20 == 0).any() or (heads[:, 8] != 5).any():
         raise ValueError("not the PES packets of this format")
-    sizes = heads[:, 16] << 8 | heads[:, 17]
-    pts = (heads[:, 21] & 0x0E) << 29 | heads[:, 22] << 22 | (heads[:, 23] & 0xFE) << 14 | heads[:, 24] << 7 | heads[:, 25] >> 1
-    access = number[starts[(heads[:, 5] & 0x40) > 0]]
-    spans = np.diff(np.append(starts, len(mine)))
-    parts = []
-    for at, n, size in zip(starts.tolist(), spans.tolist(), (sizes - (PES_HEADER - 6)).tolist(), strict=True):
-        body = np.concatenate([mine[at, 26:], mine[at + 1 : at + n, 4:].ravel()])
-        if size > len(body):
-            raise ValueError("a PES packet is cut short")
-        parts.append(body[:size])
-    return np.concatenate(parts).tobytes(), pts, access
+    sizes = heads[:, 4] << 8 | heads[:, 5]
+    pts = (heads[:, 9] & 0x0E) << 29 | heads[:, 10] << 22 | (heads[:, 11] & 0xFE) << 14 | heads[:, 12] << 7 | heads[:, 13] >> 1
+    access = number[starts[(mine[starts, 5] & 0x40) > 0]]
+    begin[starts] += PES_HEADER
+    payload = mine[np.arange(PACKET) >= begin[:, None]]
+    held = np.add.reduceat(PACKET - begin, starts)
+    if (held != sizes - (PES_HEADER - 6)).any():
+        raise ValueError("a PES packet is not as long as it says")
+    return payload.tobytes(), pts, access
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -164,7 +188,7 @@ def store(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
 def feature(payload: bytes, pts: np.ndarray, access: np.ndarray) -> str:
@@ -195,4 +219,5 @@ NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return read_back(store(table(spark, sf_dir, "documents").select("doc_id", F.col("text"))))
+    stored = Scratch(spark, "media").save(store(table(spark, sf_dir, "documents")), "streams")
+    return read_back(stored)
