@@ -4,16 +4,19 @@ A page is read as a stream of tags and texts; block elements, labelled by name,
 skeleton. Pages of a host are aligned one after another into a wrapper, a regular expression without
 unions: an element that only some pages have becomes optional, one that occurs again beside itself
 becomes repeated, labels that come back after others are put into one repeated group. Texts are kept as
-hashes: what all pages with the element have (EVIDENCE or more) is a constant of the template, the rest are slots. A label occurs once among the children of a wrapper node, so a wrapper is
-bounded by the variety of the templates, not by the pages. Wrappers also count the pages and characters of a text.
+hashes: what all pages with the element have is a constant of the template, if these are half of the host's
+pages (and EVIDENCE or more), the rest are slots. A label occurs once among the children of a wrapper node, so a wrapper is bounded by the variety of
+the templates, not by the pages. Wrappers also count the pages and characters of a text.
 
 The article is what is marked as an article, else the lowest element that all slots are in, without the
-constants inside it. Hosts of fewer pages tell no slots; there it is the element with nearly all of the text that no
-heading or paragraph is beside. Menus, adverts and the like are recognised by element,
-role, or words of class and id, as far as the wrapper does not put the article inside of them.
+constants inside it. Hosts of fewer pages tell no slots; there it is the element with nearly all of the text
+that no heading or paragraph is beside. Menus, adverts and the like are recognised by element, role, or
+words of class and id, as far as the wrapper does not put the article inside of them: what holds the only
+articles, or nearly all text with headings, menus and the like inside, is the layout and stays open.
 
 Wrappers are merged inside each task, then by host and salt, then by host; hosts with many pages send
-one small wrapper for each task. Defined cases: null html and pages without text give empty text; a
+one small wrapper for each task. What an element is, is part of its label, and all counts, constants and
+marks of a wrapper are the same in whatever order pages are merged. Defined cases: null html and pages without text give empty text; a
 null url belongs to the host ''; a page that its wrapper's article is missing from is judged alone;
 very long pages stay whole; repeated rows each keep a row; other columns are ignored.
 """
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import Scratch, slices, table
+from holdfast.llm.common import Scratch, slices, small_batches, table
 
 #: Element names of the HTML standard by their role here.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -43,6 +46,12 @@ CHROME_ROLES = frozenset("navigation banner contentinfo complementary search for
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar masthead footer header cookie cookies consent gdpr notice notices alert comment comments disqus replies share sharing social related recommended popup modal overlay newsletter subscribe signup login search pagination pager toolbar widget".split()
 )
+#: Parts of a class name that make it tell of something beside or below the element, not of the element.
+BESIDE_WORDS = frozenset("has with without no not is layout template theme".split())
+#: Elements of which classes and ids tell nothing: they are the page, or its text.
+OPEN = frozenset("html body main article".split())
+#: Elements that only the layout of a page has around others.
+LAYOUT = frozenset("h1 main article nav header footer aside".split())
 ARTICLE_WORDS = frozenset("article articlebody articletext maintext mainarticle story storybody".split())
 #: An open element of the key is closed by the start of one of the values.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "head": {"body"}}
@@ -64,32 +73,43 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("name", "label", "chrome", "article", "kids")
+    __slots__ = ("name", "label", "chrome", "article", "hidden", "kids")
 
-    def __init__(self, name: str, label: str, chrome: bool, article: bool):
+    def __init__(self, name: str, label: str, chrome: bool = False, article: bool = False, hidden: bool = False):
         # kids: nodes and texts in page order
-        self.name, self.label, self.chrome, self.article, self.kids = name, label, chrome, article, []
+        self.name, self.label, self.chrome, self.article, self.hidden, self.kids = name, label, chrome, article, hidden, []
+
+
+def _is_chrome(mark: str) -> bool:
+    """Whether a class or id names a part of the page that is not the article: by its first or last word."""
+    words = _WORDS.findall(_CAMEL.sub(" ", mark).lower())
+    return bool(words) and (words[0] in CHROME_WORDS or words[-1] in CHROME_WORDS) and not any(w in BESIDE_WORDS for w in words)
 
 
 def _open(name: str, attributes: str) -> Node:
-    label, chrome, article = name, name in CHROME, name == "article"
+    label, chrome, article, hidden = name, name in CHROME, name == "article", False
     if attributes and attributes.strip(" /"):
         found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
         marks = " ".join(html.unescape(found[k]) for k in ("class", "id") if found.get(k))
         if marks:
             label = f"{name}.{' '.join(sorted(set(_DIGITS.sub('0', marks).split())))}"
-        words = set(_WORDS.findall(_CAMEL.sub(" ", marks).lower()))
+            if name not in OPEN:
+                chrome |= any(map(_is_chrome, marks.split()))
+            article |= any(w in ARTICLE_WORDS for w in _WORDS.findall(_CAMEL.sub(" ", marks).lower()))
+        # what the label does not tell so far is added to it
         role = found.get("role", "").lower()
-        hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
-        chrome |= bool(words & CHROME_WORDS) or role in CHROME_ROLES or hidden
-        article |= role == "article" or bool(words & ARTICLE_WORDS) or found.get("itemprop", "").lower() == "articlebody"
-        chrome &= not (name == "article" and not hidden)
-    return Node(name, label, chrome, article)
+        if role in CHROME_ROLES and not chrome and name not in OPEN:
+            chrome, label = True, f"{label}!"
+        if (role == "article" or found.get("itemprop", "").lower() == "articlebody") and not article:
+            article, label = True, f"{label}*"
+        if "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower():
+            chrome, hidden, label = True, True, f"{label}~"
+    return Node(name, label, chrome, article, hidden)
 
 
 def parse(page: str) -> Node:
     """Block elements and the text between them; inline elements leave their text where it is."""
-    root = Node("", "", False, False)
+    root = Node("", "")
     stack, at = [root], 0
     opened: Counter = Counter()
 
@@ -97,7 +117,7 @@ def parse(page: str) -> Node:
         for node in stack[i:]:
             opened[node.name] -= 1
         if len(stack) > MAX_DEPTH and i > 0 and stack[-1].kids is stack[i - 1].kids:
-            stack[i - 1].kids.append(Node(stack[i].name, stack[i].label, False, False))  # what follows is a block of its own
+            stack[i - 1].kids.append(Node(stack[i].name, stack[i].label))  # what follows is a block of its own
         del stack[i:]
 
     while True:
@@ -143,7 +163,7 @@ def parse(page: str) -> Node:
                     apart = (node.chrome or node.article and not any(x.article for x in deep)) and not any(x.chrome for x in deep)
                     if not apart:
                         # open as any other, so that ends match their own starts, but its inside is that of the one above
-                        node = Node(node.name, node.label, False, False)
+                        node = Node(node.name, node.label)
                         node.kids = stack[-1].kids
                 stack.append(node)
                 opened[name] += 1
@@ -158,7 +178,7 @@ def _own(node: Node) -> str:
 def skeleton(node: Node) -> dict:
     """The wrapper of one page. kids: label -> [wrapper, optional, repeated, group]; repeated: beside itself; group: it, or one before it, came back after others."""
     chars, own = sum(len(k.strip()) for k in node.kids if isinstance(k, str)), _own(node)
-    out = {"n": 1, "chars": chars, "texts": [own] if own else [], "slot": False, "chrome": node.chrome, "article": node.article, "name": node.name, "kids": {}}
+    out = {"n": 1, "chars": chars, "texts": [own] if own else [], "slot": False, "chrome": node.chrome, "article": node.article, "hidden": node.hidden, "name": node.name, "kids": {}}
     kids, last, times = out["kids"], None, Counter()
     for kid in node.kids:
         if isinstance(kid, str):
@@ -220,9 +240,14 @@ def _merge(a: dict, b: dict, page: bool = False) -> None:
     a["kids"] = kids
 
 
-def _varies(wrapper: dict) -> bool:
+def _least(wrapper: dict) -> int:
+    """Pages of the host that must have an element for its text to be a constant: half of them, and EVIDENCE."""
+    return max(EVIDENCE, -(-wrapper["n"] // 2))
+
+
+def _varies(wrapper: dict, least: int = EVIDENCE) -> bool:
     """Whether its own text is a slot: it differs between pages, or too few have it."""
-    return bool(wrapper["chars"]) and (wrapper["slot"] or wrapper["n"] < EVIDENCE)
+    return bool(wrapper["chars"]) and (wrapper["slot"] or wrapper["n"] < least)
 
 
 def expression(wrapper: dict, label: str = "") -> str:
@@ -236,9 +261,9 @@ def expression(wrapper: dict, label: str = "") -> str:
     return f"(<{label}>{inner}</>)" if label else inner
 
 
-def _mass(wrapper: dict, slots: bool = False) -> int:
-    """Characters outside of chrome; of slots only, if asked for."""
-    return 0 if wrapper["chrome"] else (wrapper["chars"] if _varies(wrapper) or not slots else 0) + sum(_mass(k[0], slots) for k in wrapper["kids"].values())
+def _mass(wrapper: dict, least: int = 0) -> int:
+    """Characters outside of chrome; with the least pages of a constant given, those of slots only."""
+    return 0 if wrapper["chrome"] else (wrapper["chars"] if not least or _varies(wrapper, least) else 0) + sum(_mass(k[0], least) for k in wrapper["kids"].values())
 
 
 def _prose(wrapper: dict) -> bool:
@@ -246,58 +271,80 @@ def _prose(wrapper: dict) -> bool:
     return not wrapper["chrome"] and (bool(re.fullmatch("h[1-6]|p", wrapper["name"])) and _mass(wrapper) > 0 or any(_prose(k[0]) for k in wrapper["kids"].values()))
 
 
-def article_paths(wrapper: dict) -> list[tuple[str, ...]]:
-    """Label paths of the elements that hold the article."""
-    return article(wrapper)[0]
+def _all(wrapper: dict) -> int:
+    """Characters, those of chrome too."""
+    return 0 if wrapper["hidden"] else wrapper["chars"] + sum(_all(k[0]) for k in wrapper["kids"].values())
+
+
+def _laid_out(wrapper: dict) -> bool:
+    """Whether the element holds others that only the layout of a page does."""
+    return any(k["name"] in LAYOUT or _laid_out(k) for k, *_ in wrapper["kids"].values())
+
+
+Path = tuple[str, ...]
 
 
-def article(wrapper: dict) -> tuple[list[tuple[str, ...]], dict[tuple[str, ...], frozenset[str]]]:
-    """Label paths of the elements that hold the article, and by path the texts inside that the template has on every page."""
-    marked: dict[tuple[str, ...], int] = {}
+def _marked(wrapper: dict, wanted) -> dict[Path, int]:
+    """Label paths of the elements that are wanted, and their characters. Those in chrome count where there are no others and they have most of the text."""
+    open_: dict[Path, int] = {}
+    closed: dict[Path, int] = {}
 
-    def look(at: dict, path: tuple[str, ...]) -> None:
+    def look(at: dict, path: Path, out: dict[Path, int]) -> None:
         for label, (kid, *_) in at["kids"].items():
-            if kid["chrome"]:
+            own = path + (label,)
+            if kid["hidden"]:
                 continue
-            if kid["article"]:
-                marked[path + (label,)] = _mass(kid)
+            if wanted(kid) and not kid["chrome"]:
+                out[own] = _mass(kid)
             else:
-                look(kid, path + (label,))
+                look(kid, own, closed if kid["chrome"] else out)
 
-    look(wrapper, ())
-    if any(marked.values()):
-        return [p for p, n in marked.items() if n], {}
-    mains: dict[tuple[str, ...], int] = {}
+    look(wrapper, (), open_)
+    if any(open_.values()):
+        return {p: n for p, n in open_.items() if n}
+    return {p: n for p, n in closed.items() if n} if 2 * sum(closed.values()) > _all(wrapper) else {}
 
-    def look_main(at: dict, path: tuple[str, ...]) -> None:
-        for label, (kid, *_) in at["kids"].items():
-            if not kid["chrome"]:
-                if kid["name"] == "main":
-                    mains[path + (label,)] = _mass(kid)
-                else:
-                    look_main(kid, path + (label,))
 
-    look_main(wrapper, ())
-    path, at = (max(mains, key=mains.get), wrapper) if any(mains.values()) else ((), wrapper)
+def article(wrapper: dict) -> tuple[list[Path], dict[Path, frozenset[str]], frozenset[Path]]:
+    """Label paths of the elements that hold the article; by path the texts inside that the template has on every page; paths of chrome that stays open."""
+    marked = _marked(wrapper, lambda kid: kid["article"])
+    if marked:
+        return list(marked), {}, frozenset()
+    opened: set[Path] = set()
+    every = _all(wrapper)
+
+    def reopen(at: dict, path: Path) -> None:
+        for label, (kid, *_) in at["kids"].items():
+            if not kid["hidden"] and _all(kid) > 0.8 * every:
+                if kid["chrome"] and _laid_out(kid):
+                    kid["chrome"] = False
+                    opened.add(path + (label,))
+                reopen(kid, path + (label,))
+
+    mains = _marked(wrapper, lambda kid: kid["name"] == "main")
+    path, at = max(mains, key=lambda p: (mains[p], p)) if mains else (), wrapper
+    if not mains:
+        reopen(wrapper, ())
     for label in path:
         at = at["kids"][label][0]
-    slots = _mass(at, True) > 0  # pages that are all the same have none
+    least = _least(wrapper)
+    slots = _mass(at, least) > 0  # pages that are all the same have none
     few = wrapper["n"] < EVIDENCE
 
     def holds_all(at: dict, label: str) -> bool:
         """All slots are in the child; where too few pages tell slots, nearly all text, and no heading or paragraph is beside it."""
-        total, own = _mass(at, slots), _mass(at["kids"][label][0], slots)
+        total, own = (_mass(x, least if slots else 0) for x in (at, at["kids"][label][0]))
         return total > 0 and (own == total or few and own > 0.8 * total and not any(_prose(k[0]) for x, k in at["kids"].items() if x != label))
 
     while True:
-        step = next((x for x, (k, _, r, g) in at["kids"].items() if not k["chrome"] and not r and not g and k["name"] in ("html", "body", "div", "section", "main", "center", "td", "tr", "table", "tbody") and holds_all(at, x)), None)
+        step = next((x for x, (k, _, r, g) in at["kids"].items() if not k["chrome"] and not r and not g and k["name"] in ("html", "body", "div", "section", "main", "center", "td", "tr", "table", "tbody", "form") and holds_all(at, x)), None)
         if step is None:
             break
         path, at = path + (step,), at["kids"][step][0]
-    fixed: dict[tuple[str, ...], frozenset[str]] = {}
+    fixed: dict[Path, frozenset[str]] = {}
 
-    def look_fixed(at: dict, path: tuple[str, ...]) -> None:
-        if at["texts"] and at["n"] >= EVIDENCE:
+    def look_fixed(at: dict, path: Path) -> None:
+        if at["texts"] and at["n"] >= least:
             fixed[path] = frozenset(at["texts"])
         for label, (kid, *_) in at["kids"].items():
             if not kid["chrome"]:
@@ -305,7 +352,7 @@ def article(wrapper: dict) -> tuple[list[tuple[str, ...]], dict[tuple[str, ...],
 
     if slots:
         look_fixed(at, path)
-    return [path], fixed
+    return [path], fixed, frozenset(opened)
 
 
 def _nodes(node: Node, path: tuple[str, ...]) -> Iterator[Node]:
@@ -313,38 +360,38 @@ def _nodes(node: Node, path: tuple[str, ...]) -> Iterator[Node]:
         yield node
         return
     for kid in node.kids:
-        if isinstance(kid, Node) and kid.label == path[0] and not kid.chrome:
+        if isinstance(kid, Node) and kid.label == path[0]:
             yield from _nodes(kid, path[1:])
 
 
-def _blocks(node: Node, out: list[list[str]], path: tuple[str, ...] = (), fixed: dict | None = None) -> None:
+def _blocks(node: Node, out: list[list[str]], path: Path, fixed: dict[Path, frozenset[str]], opened: frozenset[Path]) -> None:
     out.append([])
-    constant = bool(fixed) and path in fixed and _own(node) in fixed[path]
+    constant = path in fixed and _own(node) in fixed[path]
     for kid in node.kids:
         if isinstance(kid, str):
             if not constant:
                 out[-1].append(html.unescape(kid))
-        elif not kid.chrome:
-            _blocks(kid, out, path + (kid.label,) if fixed else (), fixed)
-            out.append([])
+            continue
+        own = path + (kid.label,) if fixed or opened else ()
+        if not kid.chrome or own in opened:
+            _blocks(kid, out, own, fixed, opened)
         elif kid.name == "header" and node.article:
             # the heading of the article itself
             for head in kid.kids:
                 if isinstance(head, Node) and re.fullmatch("h[1-6]", head.name) and not head.chrome:
-                    _blocks(head, out)
-            out.append([])
-        else:
-            out.append([])
+                    _blocks(head, out, (), {}, frozenset())
+        out.append([])
 
 
-def extract(page: str | None, paths: list[tuple[str, ...]] | None, fixed: dict | None = None) -> str:
+def extract(page: str | None, paths: list[Path] | None, fixed: dict[Path, frozenset[str]] | None = None, opened: frozenset[Path] = frozenset()) -> str:
     root = parse(page or "")
     found = [n for p in paths or () for n in _nodes(root, p)]
-    start = paths[0] if len(paths or ()) == 1 else ()
+    start, fixed = paths[0] if len(paths or ()) == 1 else (), fixed or {}
     if not found:
-        start, fixed = (), None
-        found = [n for p in article_paths(skeleton(root)) for n in _nodes(root, p)]
-    elif len(paths) > 1:
+        paths, _, opened = article(skeleton(root))
+        start, fixed = paths[0] if len(paths) == 1 else (), {}
+        found = [n for p in paths for n in _nodes(root, p)]
+    if len(paths) > 1:
         order: dict[int, int] = {}
 
         def number(node: Node) -> None:
@@ -357,7 +404,7 @@ def extract(page: str | None, paths: list[tuple[str, ...]] | None, fixed: dict |
         found.sort(key=lambda n: order[id(n)])
     blocks: list[list[str]] = []
     for node in found:
-        _blocks(node, blocks, start, fixed)
+        _blocks(node, blocks, start, fixed, opened)
     texts = (" ".join("".join(b).split()) for b in blocks)
     return "\n".join(t for t in texts if t)
 
@@ -401,7 +448,7 @@ def infer(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
 def main_text(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text, n_chars."""
-    pages = pages.select("page_id", "url", "html", host().alias("host"))
+    pages = small_batches(pages).select("page_id", "url", "html", host().alias("host"))
     wrappers = infer(pages, scratch)
     kind = pages.schema["page_id"].dataType.simpleString()
 
