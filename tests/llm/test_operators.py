@@ -149,6 +149,15 @@ def test_warc_round_trip(spark, scratch):
     assert warc.archive(df.limit(0), Scratch(spark, "test")).count() == 0
 
 
+def test_a_revisit_needs_its_response(spark):
+    rows = [(1, "u", 3, "AAA", "response", None), (2, "u", 3, "AAA", "revisit", 1), (3, "u", 3, "BBB", "revisit", 1), (4, "u", 3, "AAA", "revisit", 9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    assert [r["payload_bytes"] for r in warc.resolved(df.filter("page_id < 3")).collect()] == [3, 3]
+    for bad in (3, 4):
+        with pytest.raises(Exception, match=f"page {bad} revisits"):
+            warc.resolved(df.filter(f"page_id in (1, {bad})")).collect()
+
+
 def test_url_keys():
     assert warc.url_key("HTTP://www.Example.ORG:80/a?b#c") == "org,example,www)/a?b#c" and warc.url_key("https://u:p@h.io:8080") == "io,h:8080)/" and warc.url_key(None) == ""
 
@@ -219,6 +228,40 @@ def test_deep_pages_lose_nothing():
     assert wrappers.extract("<div>" * 200 + "<div class=ad><article>bad</article></div><article><p>good</p><nav>menu</nav></article>" + "</div>" * 200, None) == "good"
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<body class="has-sidebar"><article><p>Hello</p></article></body>', "Hello"),
+    ('<div class="single with-comments"><p>Text of it</p><div class="comments"><p>first!</p></div></div>', "Text of it"),
+    ("<form id=aspnetForm><nav>menu</nav><article>the article<form>mail</form></article></form>", "the article"),
+    ("<div id=sidebar-page><nav>menu</nav><h1>Title</h1><p>long text here and there</p><footer>foot</footer></div>", "Title\nlong text here and there"),
+    ("<div id=header><h1>Site</h1></div><div class=story><p>One</p></div><div id=comments><article>first!</article></div>", "One"),
+    ("<div>" * 160 + "<nav>MENU</nav>Hello" + "</div>" * 160, "Hello"),
+    ("<article><p>a</p><div style='display: none'>b</div><p role=alert>c</p></article>", "a"),
+    ("<article><div class=ad-slot>buy</div><div class=NavBar>x</div><p class=broad>a</p></article>", "a"),
+])
+def test_layout_is_not_taken_for_chrome(page, text):
+    assert wrappers.extract(page, None) == text
+
+
+def test_wrappers_do_not_depend_on_the_order(spark):
+    pages = ["<div id=a><p>Same</p><p role=note>x{0}</p></div>", "<div id=a><p>Same</p></div><p hidden>h</p>", "<div id=a><p>Same</p><div role=navigation>n</div><div>b{0}</div></div>", "<div role=navigation>n</div><div id=a><p>Same</p></div>"]
+    made = [p.format(i) for i, p in enumerate(pages * 3)]
+    want = wrappers.article(learned(*made))
+    rng = random.Random(1)
+    for _ in range(20):
+        rng.shuffle(made)
+        assert wrappers.article(learned(*made)) == want
+    rows = spark.createDataFrame([(i, f"http://h{i % 3}/", p) for i, p in enumerate(made * 4)], "page_id long, url string, html string")
+    one, many = ({r["page_id"]: r["text"] for r in wrappers.main_text(rows.repartition(n), Scratch(spark, "test")).collect()} for n in (1, 20))
+    assert one == many
+
+
+def test_copies_of_a_page_are_no_template():
+    page = "<body><div class=top>The Daily Site</div><h1>{0} head</h1><div class=box{1}><p>{0} text of it</p></div></body>"
+    pages = [page.format("one", "a")] * 3 + [page.format(x, "b") for x in ("two", "three", "four", "five")]
+    found = wrappers.article(learned(*pages))
+    assert wrappers.extract(pages[0], *found) == "one head\none text of it" and wrappers.extract(pages[4], *found) == "three head\nthree text of it"
+
+
 def test_wrapper_has_constants_and_groups():
     wrapper = learned("<div>by</div><dl><dt>a<dd>1<dd>2<dt>b<dd>3</dl>", "<div>by</div><dl><dt>c<dd>4<dt>d<dd>5</dl>", "<div>by</div><dl><dt>e<dd>6</dl>")
     assert wrappers.expression(wrapper) == "(<div>=</>)(<dl>((<dt>#</>)(<dd>#</>)+)+</>)"
@@ -298,6 +341,46 @@ def test_neardup_long_runs(spark, scratch, monkeypatch):
     assert [got[i]["n_links"] for i in range(len(x))] == n.tolist() and [got[i]["component_id"] for i in range(len(x))] == c
 
 
+def test_neardup_repeated_ids(spark, scratch):
+    rng = np.random.default_rng(7)
+    x, z = rng.standard_normal((2, 16))
+    far = rng.standard_normal(16)
+    rows = [(5, x), (5, far), (9, x + 0.01 * z), (7, -x), (9, far), (5, x), (3, x + 0.2 * z)]
+    rows.sort(key=lambda r: r[0])
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    n, c = brute_links([i for i, _ in rows], np.stack([v for _, v in rows]))
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in neardup.link(df, scratch).collect())
+    assert got == Counter((i, int(k), g, i == g) for (i, _), k, g in zip(rows, n, c, strict=True))
+
+
+def test_neardup_recall_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(8)
+    pairs = crowded(rng, 125, 0, 0)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(pairs)], "vec_id long, embedding array<float>")
+    before = [spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")]
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = []
+        for n in (4, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(neardup.link(df, Scratch(spark, "test"), passes=4).filter("n_links > 0").count())
+        assert found[0] == found[1] >= 0.95 * 250
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
+
+
+def test_codes_bound_the_cosine():
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.standard_normal((200, 24)), rng.standard_normal((50, 24)) * 10.0 ** rng.integers(-6, 6, (50, 24))])
+    x = neardup.matrix([r.tobytes() for r in x], "<f8")
+    own = neardup.uncode(neardup.code(x))
+    for threshold in (0.0, 0.3, 0.9):
+        sure, maybe = neardup.decided(own, own, threshold)
+        near = x @ x.T >= threshold
+        assert not (sure & ~near).any() and not (near & ~sure & ~maybe).any() and maybe.mean() < 0.1
+
+
 def test_neardup_passes_are_not_cut():
     for n in (10, 10**4, 10**7, 10**9):
         bits = neardup.bits_for(n)
@@ -365,6 +448,43 @@ def test_jaccard_odd(odd, nothing, scratch, spark):
     assert kept.columns == odd.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter([1, None, 3, 5, 6, 7])
 
 
+def test_jaccard_repeated_ids(spark):
+    rng = random.Random(11)
+    text = [" ".join(rng.choice("abcdefghijklmnop") + str(rng.randint(0, 9)) for _ in range(60)) for _ in range(4)]
+    near = lambda t: t + " end"
+    rows = [(1, text[0]), (1, text[1]), (2, near(text[1])), (3, near(text[0])), (4, text[2]), (4, text[2]), (4, text[2].upper()), (None, text[3]), (None, near(text[3])), (None, text[2]), (5, None), (5, None)]
+    df = spark.createDataFrame([(i, t, "z", 0) for i, t in rows], "doc_id long, text string, h string, n int")
+    got = Counter((r["doc_id"], r["component_id"]) for r in jaccard.join(df, Scratch(spark, "test")).collect())
+    assert got == Counter([(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (4, 4), (None, None), (None, None), (None, 4), (5, 5), (5, 5)])
+    kept = jaccard.keep_one(df, Scratch(spark, "test"))
+    rows = [(r["doc_id"], (r["text"] or "").lower()) for r in kept.collect()]
+    assert kept.columns == df.columns
+    assert Counter(i for i, _ in rows) == Counter([1, 1, 4, None, 5, 5]) and {t for i, t in rows if i == 1} == {text[0], text[1]}
+
+
+def test_jaccard_long_texts_and_large_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(4000)) for _ in range(3)]
+    rows = [(i * 10 + j, t if j == 0 else t + f" x{j} " * j) for i, t in enumerate(texts) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: (r, c) for i, (r, c) in brute_jaccard(rows, 5, 4, 5).items()}
+    for name, value in (("PART", 1000), ("BLOCK_BYTES", 20_000)):
+        monkeypatch.setattr(jaccard, name, value)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df, Scratch(spark, "test")).collect()} == want
+
+
+def test_words_of_long_texts_are_hashed_alike(monkeypatch):
+    texts = ["a  bc d" * 50, "x" * 3000 + " y z w", "", " ", None, "q \t r\n" * 100]
+    whole = jaccard.Shingler(3)(texts)
+    monkeypatch.setattr(jaccard, "PART", 64)
+    assert all((x == y).all() for x, y in zip(whole, jaccard.Shingler(3)(texts), strict=True))
+
+
+def test_counters_stay_at_their_largest_value(spark, monkeypatch):
+    big = np.array([2**32 + 5, 7], np.int64)
+    assert np.minimum(big, 0xFFFFFFFF).astype("<u4").tolist() == [0xFFFFFFFF, 7]
+
+
 def got_size(text):
     words = text.split()
     return len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
@@ -429,6 +549,54 @@ def test_messages_equal_enumeration():
         pii.ROUNDS = rounds
 
 
+def test_messages_over_skip_links_equal_enumeration():
+    """A word that comes back far away: a tree of one neighbour and one skip link, where message passing is exact."""
+    words = pii.Words("12 ab@c.d between 12")
+    assert (words.chain, words.repeats, words.similar) == ([(0, 1)], [(0, 2)], [(0, 2)])
+    words.similar = []
+    rng = np.random.default_rng(5)
+    model = {"weights": rng.standard_normal((1 << pii.BITS, 5)), "pairs": [rng.standard_normal((5, 5)) for _ in range(3)]}
+    unary = np.array([model["weights"][f].sum(0) + model["weights"][0] for f in words.features])
+    joint = unary[0][:, None, None] + unary[1][None, :, None] + unary[2][None, None, :] + model["pairs"][0][:, :, None] + model["pairs"][1][:, None, :]
+    joint = np.exp(joint - joint.max())
+    joint /= joint.sum()
+    rounds, pii.ROUNDS = pii.ROUNDS, 60
+    try:
+        got = pii.posteriors(words, model)
+        assert np.allclose(got, [joint.sum((1, 2)), joint.sum((0, 2)), joint.sum((0, 1))], atol=1e-6)
+        # the far word counts: without the link its neighbour's label does not reach it
+        words.repeats = []
+        assert not np.allclose(pii.posteriors(words, model)[2], got[2], atol=1e-3)
+    finally:
+        pii.ROUNDS = rounds
+
+
+def test_training_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one, many = (pii.train(docs.repartition(n), 300) for n in (1, 16))
+    assert (one["weights"] == many["weights"]).all() and all((a == b).all() for a, b in zip(one["pairs"], many["pairs"], strict=True))
+
+
+def test_overlaps_of_spans():
+    rng = random.Random(6)
+    for _ in range(300):
+        spans = [("ip", a, a + rng.randint(1, 9)) for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 6)))]
+        starts, ends = pii._united(spans)
+        for a in range(70):
+            for b in range(a + 1, a + 6):
+                assert (pii.bisect_left(starts, b) != pii.bisect_right(ends, a)) == any(x < b and a < y for _, x, y in spans)
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    text = "a.b@c.org 1.2.3.4 " * 60_000
+    words, spans = pii.Words(text), pii.base_spans(text)
+    began = time.time()
+    assert Counter(pii.labels(words, spans)) == {1: 60_000, 2: 60_000} and len(pii._united(spans)[0]) == 120_000
+    assert time.time() - began < 5
+
+
 def test_redaction(spark, odd, nothing):
     docs = spark.createDataFrame([(1, "write a.b@c.org or 1.2.3.4", 26, 5), (2, None, None, 5), (2, "clean text", 10, 5)], "doc_id long, text string, n_chars long, spans int")
     rows = pii.redact(docs).collect()
@@ -457,6 +625,38 @@ def test_language_chunks_lose_nothing(monkeypatch):
     assert set(whole) == set(parts) and abs(len(whole) - len(parts)) <= 3 * (len(text) // 50 + 1)
 
 
+def plain_ngrams(text):
+    """Slots of all n-grams, character by character."""
+    mix, cut = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), 0xFFFFFFFF
+    chars = re.sub(" +", " ", "".join(" " if ord(c) < 128 and not "a" <= c <= "z" else c for c in f" {text.lower()} "))
+    out = []
+    for n in (1, 2, 3):
+        for i in range(len(chars) - n + 1):
+            state = 0
+            for k, c in enumerate(chars[i : i + n], 1):
+                state = ((state ^ ord(c)) * mix[k % 3]) & cut
+                state ^= state >> 15
+            out.append(((state * mix[0]) & cut) >> 16)
+    return out
+
+
+def test_languages_equal_plain_naive_bayes(spark):
+    rows = [(r["doc_id"], r["text"][:300], r["lang"]) for r in pq.read_table(f"{SF}/documents.parquet").slice(0, 60).to_pylist()]
+    langs, matrix, priors = langid.train(spark.createDataFrame([*rows, (900, None, "en"), (901, "x", None)], "doc_id long, text string, lang string"))
+    counts = {x: Counter() for x in sorted({r[2] for r in rows})}
+    for _, text, lang in rows:
+        counts[lang].update(plain_ngrams(text))
+    assert langs == list(counts)
+    docs = Counter(r[2] for r in rows)
+    for text in (*(r[1] for r in rows[:30]), "the", "der Hund", "¿qué?", "Ωμ"):
+        score = {}
+        for lang, own in counts.items():
+            score[lang] = math.log((docs[lang] + 1) / (len(rows) + len(langs))) + sum(math.log((own[g] + 0.1) / (sum(own.values()) + 0.1 * 65536)) for g in plain_ngrams(text))
+        best = max(score, key=score.get)
+        got = langid.classify(text, langs, matrix, priors)
+        assert got[0] == best and math.isclose(got[1], 1 / sum(math.exp(s - score[best]) for s in score.values()), rel_tol=1e-3)
+
+
 def test_rare_languages_are_learned(spark):
     rows = [(i, f"the house and the garden {i}", "en") for i in range(4000)] + [(4000 + i, f"zxq vwk jqz {i}", "rare") for i in range(3)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 100)
@@ -485,6 +685,49 @@ def test_stream_round_trip(n):
     assert (pts == np.arange(len(pts)) * tsmedia.UNIT).all() and (access == 2 + np.arange(len(pts)) * tsmedia.UNIT_PACKETS).all()
 
 
+def plain_stream(stream):
+    """Payload by the standard, packet by packet: tables first, adaptation fields skipped, PES packets by their own length."""
+    pmt = pid = None
+    counter, units = {}, []
+    for at in range(0, len(stream), 188):
+        p = stream[at : at + 188]
+        assert p[0] == 0x47 and not p[1] & 0x80
+        own, start, body = (p[1] & 0x1F) << 8 | p[2], bool(p[1] & 0x40), 4
+        assert p[3] & 0x10
+        if own in counter:
+            assert p[3] & 15 == (counter[own] + 1) & 15
+        counter[own] = p[3] & 15
+        if p[3] & 0x20:
+            field = p[5 : 5 + p[4]]
+            body = 5 + p[4]
+            held = 1 + 6 * bool(field and field[0] & 0x10)
+            assert set(field[held:]) <= {0xFF}  # stuffing
+        data = p[body:]
+        if own == 0:
+            section = data[1 + data[0] :]
+            assert section[0] == 0 and tsmedia.crc_mpeg(section[: 3 + ((section[1] & 15) << 8 | section[2])]) == 0
+            pmt = (section[10] & 0x1F) << 8 | section[11]
+        elif own == pmt:
+            section = data[1 + data[0] :]
+            assert section[0] == 2
+            pid = (section[13] & 0x1F) << 8 | section[14]
+        elif own == pid:
+            if start:
+                units.append(bytearray())
+            units[-1] += data
+    out = b""
+    for unit in units:
+        assert unit[:4] == b"\0\0\1\xbd" and len(unit) == 6 + (unit[4] << 8 | unit[5])  # nothing behind a PES packet
+        out += unit[9 + unit[8] :]
+    return out
+
+
+@pytest.mark.parametrize("n", [0, 1, 64, 128, 160, 161, 162, 163, 164, 345, 346, 347, tsmedia.UNIT - 184, tsmedia.UNIT - 183, tsmedia.UNIT - 2, tsmedia.UNIT - 1, tsmedia.UNIT, tsmedia.UNIT + 64, 500_000])
+def test_streams_by_the_standard(n):
+    data = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes()
+    assert plain_stream(tsmedia.mux(data)) == data
+
+
 def test_damaged_streams():
     stream = tsmedia.mux(bytes(5000))
     assert tsmedia.crc_mpeg(b"123456789") == 0x0376E6E7
@@ -601,5 +844,22 @@ def test_mix_odd(odd, nothing, scratch, spark):
     assert mixed.columns == odd.columns
 
 
+def test_repeated_rows_of_the_mix(spark):
+    """An id in two sources is taken in each as often as that source's plan says, whatever other columns are called."""
+    rows = [(i, " ".join("abc"[: i % 3 + 1]), s, i, i, i, i, "x.y") for s, n in (("a", 40), ("b", 400), ("c", 25), (None, 60)) for i in range(n)] + [(None, "a b", "b", 0, 0, 0, 0, "")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _reps int, _n int, _id int, _src int, `a.b` string")
+    plan = Counter()
+    for r in mixing.mix(df, Scratch(spark, "test")).groupBy("doc_id", "size", "source_size").agg(F.sum("reps").alias("n")).collect():
+        plan[r["doc_id"], r["size"], r["source_size"]] += r["n"]
+    size = Counter()
+    for r in rows:
+        size[r[2]] += len(r[1].split())
+    assert len(set(size.values())) == 4  # so a size names its source
+    out = mixing.repeated(df, Scratch(spark, "test"))
+    got = Counter((r["doc_id"], len(r["text"].split()), size[r["source"]]) for r in out.collect())
+    assert out.columns == df.columns and got == +plan and len(set(got.values())) > 1
+    assert mixing.repeated(df.limit(0), Scratch(spark, "test")).count() == 0
+
+
 def test_one_query_for_each_operator():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)

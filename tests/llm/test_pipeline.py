@@ -62,3 +62,26 @@ def test_encoding_stage_and_run(spark, stages):
     assert after.count() == before.count() and after.filter("not round_trip").count() == 0
     whole = corpus_pipeline.run(spark, SF)
     assert Counter(map(str, whole.collect())) == Counter(map(str, after.collect()))
+
+
+def test_run_on_an_empty_table_and_odd_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    some = docs.limit(40)
+    odd = spark.createDataFrame([(None, None, None, None, None), (7, "", "en", "src1", 0), (7, "Ω" * 3, None, None, 3)], docs.schema)
+    some.unionByName(some).unionByName(odd).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert out and all(r["round_trip"] for r in out)
+
+
+def test_nothing_stays_in_scratch_but_what_is_read(spark, tmp_path):
+    from holdfast.llm import neardup
+
+    for name, run in (("neardup", lambda s: neardup.link(spark.read.parquet(f"{SF}/embeddings.parquet"), s)), ("jaccard", lambda s: __import__("holdfast.llm.jaccard").llm.jaccard.join(spark.read.parquet(f"{SF}/documents.parquet"), s))):
+        scratch = Scratch(spark, name)
+        df = run(scratch)
+        kept = {f.rsplit("/", 2)[1] for f in df.inputFiles()} if df.inputFiles() else set()
+        import os
+
+        assert set(os.listdir(scratch.root.removeprefix("file://"))) == kept and df.count() > 0
