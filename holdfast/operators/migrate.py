@@ -18,20 +18,19 @@ def last_expectation(expectations: DataFrame, projected: DataFrame, frontiers: D
     rows = rows.join(seen, "record_id", "left").select("file_id", "hash", "origin_id", "seq", "item", "record_id", "seen")
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
-        left = group.sort_values(["origin_id", "seq", "item"]).to_dict("records")
-
-        def precedes(a: dict, b: dict) -> bool:
-            if a["origin_id"] == b["origin_id"]:
-                return (a["seq"], a["item"]) < (b["seq"], b["item"])
-            known = dict(b["seen"] or {}) if isinstance(b["seen"], dict | list) else {}
-            return known.get(a["origin_id"], 0) >= a["seq"]
-
+        # one row after another of those whose origin has nothing before them and that have seen nothing else that is left
+        left: dict[str, list[dict]] = {}
+        for row in group.sort_values(["origin_id", "seq", "item"], ascending=False).to_dict("records"):
+            row["seen"] = dict(row["seen"] or {}) if isinstance(row["seen"], dict | list) else {}
+            left.setdefault(row["origin_id"], []).append(row)
         last = None
         while left:
-            free = next((i for i, b in enumerate(left) if not any(precedes(a, b) for j, a in enumerate(left) if i != j)), None)
+            free = next((o for o in sorted(left) if all(x[-1]["seq"] > left[o][-1]["seen"].get(other, 0) for other, x in left.items() if other != o)), None)
             if free is None:
                 raise ValueError(f"cyclic expectations of {group['file_id'].iloc[0]}")
-            last = left.pop(free)
+            last = left[free].pop()
+            if not left[free]:
+                del left[free]
         return pd.DataFrame([{k: last[k] for k in ("file_id", "hash", "origin_id", "seq", "item", "record_id")}])
 
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "seen")
