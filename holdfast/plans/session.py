@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # call sites of every column expression, which take longer to find out than small queries to run
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
