@@ -9,8 +9,8 @@ record. Reading is dealt out by bytes of the archives, and a revisit gets its pa
 from the response that it refers to, which is read and checked. The directory is bounded: blocks grow with the input so that it stays under MAX_DIRECTORY rows.
 
 Defined cases: null html is an empty payload; a null url has the empty key; equal urls are told apart
-by page_id; repeated rows with the largest page_id are all responses, and each keeps a row, though the
-index finds one capture for all; a null page_id is a capture of its own kind; an empty table gives no archive
+by page_id; repeated rows with the largest page_id are all responses, and each keeps a row, as the index
+finds all captures of an id and url; a null page_id is a capture of its own kind; an empty table gives no archive
 and no rows; other columns of the input are ignored.
 """
 
@@ -149,7 +149,7 @@ def index(entries: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def lookup(wanted: DataFrame, directory: DataFrame, scratch: Scratch) -> DataFrame:
-    """wanted (key, page_id) -> page_id, file, offset, length of the captures, through both levels.
+    """wanted (key, page_id) -> page_id, file, offset, length of all captures of each, through both levels.
 
     Keys come in ranges, so that a task reads neighbouring blocks, each of them once.
     """
@@ -163,20 +163,25 @@ def lookup(wanted: DataFrame, directory: DataFrame, scratch: Scratch) -> DataFra
         at, lines, marks = -1, [], []
         with reading(folder) as files:
             for batch in batches:
-                found = []
+                kinds = (batch.schema.field("page_id").type, pa.string(), pa.int64(), pa.int64())
+
+                def out(found: list, kinds=kinds) -> pa.RecordBatch:
+                    cols = list(zip(*found, strict=True)) or [[], [], [], []]
+                    found.clear()
+                    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["page_id", "file", "offset", "length"])
+
+                found: list = []
                 for key, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     mark = _mark(key, page)
-                    block = bisect.bisect_right(heads, mark) - 1
-                    if block < 0:
-                        continue
-                    if block != at:
-                        at, lines = block, [json.loads(x) for x in zlib.decompress(files.read(*places[block])).decode().split("\n")]
-                        marks = [_mark(x[0], x[1]) for x in lines]
-                    i = bisect.bisect_left(marks, mark)
-                    if i < len(marks) and marks[i] == mark:
-                        found.append(lines[i][1:5])
-                cols = list(zip(*found, strict=True)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (batch.schema.field("page_id").type, pa.string(), pa.int64(), pa.int64()), strict=True)], ["page_id", "file", "offset", "length"])
+                    # captures of one mark may start in the block before the first one that it heads, and go on over others
+                    for block in range(max(0, bisect.bisect_left(heads, mark) - 1), bisect.bisect_right(heads, mark)):
+                        if block != at:
+                            at, lines = block, [json.loads(x) for x in zlib.decompress(files.read(*places[block])).decode().split("\n")]
+                            marks = [_mark(x[0], x[1]) for x in lines]
+                        found += [x[1:5] for x in lines[bisect.bisect_left(marks, mark) : bisect.bisect_right(marks, mark)]]
+                        if len(found) > BLOCK_LINES * 10:
+                            yield out(found)
+                yield out(found)
 
     kind = wanted.schema["page_id"].dataType.simpleString()
     return wanted.select("key", "page_id").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, f"page_id {kind}, file string, offset long, length long")
@@ -218,9 +223,10 @@ def resolved(records: DataFrame) -> DataFrame:
     """records with the length and digest of what revisits refer to; one without its response, or with another digest, is an error."""
     whole = records.filter("record_type = 'response'")
     found = whole.filter("page_id is not null").select(F.col("page_id").alias("_page"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest")).distinct()
-    revisits = records.filter("record_type = 'revisit'").join(found, F.col("refers_to") == F.col("_page"), "left")
+    # with the digest, as a page_id may come twice with different payloads
+    revisits = records.filter("record_type = 'revisit'").join(found, (F.col("refers_to") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left")
     wrong = F.concat(F.lit("page "), F.col("page_id").cast("string"), F.lit(" revisits a response that does not have its payload"))
-    fits = F.coalesce((F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), F.lit(False))
+    fits = F.coalesce(F.col("payload_bytes") == F.col("_bytes"), F.lit(False))
     digest = F.when(fits, F.col("_digest")).otherwise(F.raise_error(wrong))
     return whole.unionByName(revisits.select("page_id", "url", F.col("_bytes").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to"))
 
@@ -229,7 +235,7 @@ def archive(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """Write, index, look every page up by its key, and read the records back."""
     entries = write(pages, scratch)
     directory = index(entries, scratch)
-    places = scratch.save(lookup(entries.select("key", "page_id"), directory, scratch), "places")
+    places = scratch.save(lookup(entries.select("key", "page_id").distinct(), directory, scratch), "places")
     found = read(places, scratch)
     scratch.drop("first", "entries", "directory", "places")
     return found

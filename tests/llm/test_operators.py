@@ -149,6 +149,15 @@ def test_warc_round_trip(spark, scratch):
     assert warc.archive(df.limit(0), Scratch(spark, "test")).count() == 0
 
 
+def test_one_page_id_with_two_payloads(spark, scratch):
+    pages = [(1, "u", "a"), (2, "u", "b"), (9, "u", "a"), (9, "u", "b"), (3, "u", "b")]
+    got = warc.archive(spark.createDataFrame(pages, "page_id long, url string, html string"), scratch).collect()
+    sha = lambda x: base64.b32encode(hashlib.sha1(x.encode()).digest()).decode()
+    rows = Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_digest"]) for r in got)
+    assert rows[1, "revisit", 9, sha("a")] == rows[2, "revisit", 9, sha("b")] == rows[3, "revisit", 9, sha("b")] == 1
+    assert rows[9, "response", None, sha("a")] == rows[9, "response", None, sha("b")] == 1 and len(got) == 5
+
+
 def test_a_revisit_needs_its_response(spark):
     rows = [(1, "u", 3, "AAA", "response", None), (2, "u", 3, "AAA", "revisit", 1), (3, "u", 3, "BBB", "revisit", 1), (4, "u", 3, "AAA", "revisit", 9)]
     df = spark.createDataFrame(rows, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
