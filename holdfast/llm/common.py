@@ -106,20 +106,29 @@ def give_back() -> None:
         trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about `limit` bytes of `column`; rows stay whole and in order."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, every: int = 0) -> Iterator[pa.RecordBatch]:
+    """Cut batches evenly so that each slice holds about `limit` bytes of `column`; rows stay whole and in order.
+
+    Memory is given back after a batch that ends `every` bytes or more: often keeps workers small, and costs time.
+    """
     # the plain allocator gives large buffers back at once; a worker's memory is that of the batch at hand
     pa.set_memory_pool(pa.system_memory_pool())
     give_back()
+    done = 0
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        whole = sum(sizes)
+        share = whole / max(1, round(whole / limit))
         start = held = 0
         for i, n in enumerate(sizes):
-            if held and held + n > limit:
+            if held and held + n / 2 > share:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
         batch = None
-        give_back()
+        done += whole
+        if done >= every:
+            give_back()
+            done = 0

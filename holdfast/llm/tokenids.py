@@ -33,6 +33,8 @@ from holdfast.llm.files import Writer, reading
 from holdfast.llm.units import UnitEncoder
 
 END_ID = 1
+#: Bytes of text after which a worker gives memory back, as doing so at every batch takes its time.
+GIVE_BACK_BYTES = 32 << 20
 HEADER = "<4sIQQQ"  # magic, documents, values, control bytes, value bytes
 MAGIC = b"HFTI"
 
@@ -131,7 +133,7 @@ def count(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, sums = WordEncoder.of(path), np.zeros(1 << 16, np.int64)
-        for batch in slices(batches, "text", coder.slice_bytes):
+        for batch in slices(batches, "text", coder.slice_bytes, GIVE_BACK_BYTES):
             found = np.bincount(coder.encode(batch.column("text").to_pylist(), END_ID)[0], minlength=1 << 16)
             if len(found) > len(sums):
                 sums = np.pad(sums, (0, len(found) - len(sums)))
@@ -159,7 +161,7 @@ def write(docs: DataFrame, path: str, order: np.ndarray, scratch: Scratch) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, ranks = WordEncoder.of(path), sent.value
         out, first, total = None, None, 0
-        for batch in slices(batches, "text", coder.slice_bytes):
+        for batch in slices(batches, "text", coder.slice_bytes, GIVE_BACK_BYTES):
             ids = batch.column("doc_id")
             if out is None:
                 out, first = Writer(folder, "part", ".ids"), ids.slice(0, 1)

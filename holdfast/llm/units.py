@@ -131,6 +131,9 @@ class UnitEncoder:
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many of them each text has (with `end` behind each, if given)."""
+        raw = [self.to_bytes(t or "") for t in texts]
+        if raw and sum(map(len, raw)) <= LONG:
+            return self._ended(*self._encode(raw), end)
         ids, counts, held, size = [], np.zeros(len(texts), np.int64), [], 0
 
         def flush() -> None:
@@ -141,18 +144,19 @@ class UnitEncoder:
             held.clear()
             size = 0
 
-        for i, text in enumerate(texts):
-            for piece in pieces(self.to_bytes(text or "")):
+        for i, text in enumerate(raw):
+            for piece in pieces(text):
                 if held and size + len(piece) > LONG:
                     flush()
                 held.append((i, piece))
                 size += len(piece)
         if held:
             flush()
-        flat = ids[0] if len(ids) == 1 else np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        if end is None:
-            return flat, counts
-        return np.insert(flat, np.cumsum(counts), end), counts + 1
+        return self._ended(np.concatenate(ids) if ids else np.zeros(0, np.uint32), counts, end)
+
+    @staticmethod
+    def _ended(ids: np.ndarray, counts: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        return (ids, counts) if end is None else (np.insert(ids, np.cumsum(counts), end), counts + 1)
 
     def _encode(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         data = self.prepare(np.frombuffer(b"\n".join(raw) + b"\n", np.uint8))
