@@ -29,6 +29,22 @@ def test_query_equals_sql(spark, db, name):
     assert plain(registry.QUERIES[name](spark, SF).toPandas()) == plain(db.execute(registry.ORACLES[name]).df())
 
 
+@pytest.mark.parametrize("factor, fails", [(1000, False), (10**10, True)])
+def test_checked_sums_of_large_keys(spark, tmp_path, factor, fails):
+    # products beyond a long: the saturated sum stays at the largest number, the exact one fails as its SQL does
+    duckdb.execute(f"COPY (SELECT i * {factor} AS o_orderkey, ['F', 'O', 'P'][i % 3 + 1] AS o_orderstatus FROM range(1, 900) t(i)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet')")
+    run, sql = lambda: registry.QUERIES["d14_checked_sums"](spark, str(tmp_path)).toPandas(), lambda: own.execute(registry.ORACLES["d14_checked_sums"]).df()
+    if fails:
+        with pytest.raises(Exception, match="a counter is out of range"):
+            run()
+        with pytest.raises(duckdb.Error):
+            sql()
+    else:
+        assert plain(run()) == plain(sql())
+
+
 def test_every_query_has_its_sql():
     assert set(registry.QUERIES) == set(registry.ORACLES)
 
