@@ -108,6 +108,16 @@ def test_conflicts(spark):
     assert [r["path"] for r in log.conflicts(seen, known).collect()] == ["p"]
 
 
+def test_latest_replication_does_not_depend_on_the_order_of_rows(spark):
+    from holdfast.operators import metadata
+
+    checkpoints = spark.createDataFrame([("c1", 5), ("c2", 9)], "checkpoint_id string, last_seq long")
+    rows = [("c2", "d", "failed", "unknown", 2), ("c2", "d", "verified", "unknown", 1), ("c1", "d", "verified", "unknown", 3), ("c1", "e", "verified", "unknown", 7), ("c1", "e", "pending", "unknown", 7)]
+    for order in (rows, rows[::-1]):
+        found = metadata.latest_replication(spark.createDataFrame(order, "checkpoint_id string, destination_id string, status string, independence string, event_seq int").coalesce(1), checkpoints)
+        assert {tuple(r) for r in found.collect()} == {("d", "c2", "failed", "unknown", 2), ("e", "c1", "verified", "unknown", 7)}
+
+
 def machine(events, expected):
     """The state machine, one observation after another."""
     state = {"presence": None, "integrity": "unverified", "success": None}
