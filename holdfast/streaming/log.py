@@ -77,14 +77,27 @@ def conflicts(observed: DataFrame, frontiers: DataFrame) -> DataFrame:
     """Paths with concurrent observations of different content.
 
     observed (path, content, origin_id, origin_seq, record_id); frontiers (record_id, origin_id, seq): what a record had seen.
+    Records are not paired: each is one row for every other origin of its path, swept in order.
     """
-    a = observed.select("path", F.col("content").alias("c1"), F.col("origin_id").alias("o1"), F.col("origin_seq").alias("s1"), F.col("record_id").alias("r1"))
-    b = observed.select("path", F.col("content").alias("c2"), F.col("origin_id").alias("o2"), F.col("origin_seq").alias("s2"), F.col("record_id").alias("r2"))
-    pairs = a.join(b, "path").filter((F.col("r1") < F.col("r2")) & ~F.col("c1").eqNullSafe(F.col("c2")) & (F.col("o1") != F.col("o2")))
-    saw = lambda r, o, s: frontiers.select(F.col("record_id").alias(r), F.col("origin_id").alias(o), F.col("seq").alias(s))
-    pairs = pairs.join(saw("r2", "o1", "f2"), ["r2", "o1"], "left").join(saw("r1", "o2", "f1"), ["r1", "o2"], "left")
-    apart = (F.coalesce("f2", F.lit(0)) < F.col("s1")) & (F.coalesce("f1", F.lit(0)) < F.col("s2"))
-    return pairs.filter(apart).select("path").distinct()
+    # only paths with several contents and origins can hold any; the others need no frontier
+    several = observed.groupBy("path").agg((F.min("origin_id") < F.max("origin_id")).alias("_o"), F.min(F.struct("content")).alias("_a"), F.max(F.struct("content")).alias("_b")).filter(F.col("_o") & (F.col("_a") != F.col("_b")))
+    rows = observed.filter("origin_id is not null and record_id is not null").join(several.select("path"), "path", "left_semi")
+    met = rows.select("path", F.col("origin_id").alias("other")).distinct()
+    seen = frontiers.select("record_id", F.col("origin_id").alias("other"), F.col("seq").alias("seen"))
+    seen = rows.join(met, "path").filter(F.col("origin_id") != F.col("other")).join(seen, ["record_id", "other"], "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
+    # of two origins, records a of the first and b of the second are apart if seen(b) < seq(a) and seen(a) < seq(b). In the order of
+    # seq(a) and seen(b), a is held against the greatest seq(b) so far, and against the greatest of another content than that one's.
+    first = F.col("origin_id") < F.col("other")
+    seq, y = F.col("origin_seq"), F.when(~first, F.struct("origin_seq", "content"))
+    points = seen.select("path", F.least("origin_id", "other").alias("o1"), F.greatest("origin_id", "other").alias("o2"), F.when(first, seq).otherwise(F.col("seen")).alias("x"), first.alias("a"), F.when(first, F.col("seen")).alias("seen"), "content", y.alias("y"))
+    pair = W.partitionBy("path", "o1", "o2").orderBy("x", F.desc("a"), "y")
+    so_far = pair.rowsBetween(W.unboundedPreceding, W.currentRow)
+    best = points.withColumn("best", F.max("y").over(so_far)).withColumn("before", F.lag("best").over(pair))
+    # a record that meets one of another content leaves the lesser of the two behind: the greatest of those is the second best
+    lesser = F.when(F.col("y.content").eqNullSafe(F.col("before.content")), None).otherwise(F.least("y", "before"))
+    best = best.withColumn("second", F.max(F.when(F.col("y").isNotNull() & F.col("before").isNotNull(), lesser)).over(so_far))
+    apart = lambda b: F.coalesce(F.col(f"{b}.origin_seq") > F.col("seen"), F.lit(False)) & ~F.col(f"{b}.content").eqNullSafe(F.col("content"))
+    return best.filter(F.col("a") & (apart("best") | apart("second"))).select("path").distinct()
 
 
 def running_freshness(checks: DataFrame) -> DataFrame:

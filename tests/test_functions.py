@@ -108,6 +108,36 @@ def test_conflicts(spark):
     assert [r["path"] for r in log.conflicts(seen, known).collect()] == ["p"]
 
 
+OBSERVED, SEEN = "path string, content string, origin_id string, origin_seq long, record_id string", "record_id string, origin_id string, seq long"
+
+
+def test_conflicts_equal_brute_force(spark):
+    import random
+
+    rnd = random.Random(7)
+    seen = [(f"p{i % 300}", rnd.choice([None, "x", "y", "z"][: i % 300 % 3 + 2]), f"o{rnd.randint(1, 3)}", rnd.randint(1, 6), f"r{i}") for i in range(1200)]
+    known = {(f"r{i}", f"o{o}"): rnd.randint(0, 6) for i in range(1200) for o in (1, 2, 3) if rnd.random() < 0.9}
+    met = lambda a, b: a[0] == b[0] and a[1] != b[1] and a[2] != b[2] and known.get((b[4], a[2]), 0) < a[3] and known.get((a[4], b[2]), 0) < b[3]
+    expected = {a[0] for a in seen for b in seen if met(a, b)}
+    found = log.conflicts(spark.createDataFrame(seen, OBSERVED), spark.createDataFrame([(*k, v) for k, v in known.items()], SEEN))
+    assert sorted(r["path"] for r in found.collect()) == sorted(expected) and 0 < len(expected) < 300
+
+
+def most_rows(plan) -> int:
+    """The most rows that any node of an executed plan made."""
+    inner = [plan.executedPlan()] if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else [plan.plan()] if plan.getClass().getSimpleName().endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().get("numOutputRows")
+    return max([own.get().value() if own.isDefined() else 0, *map(most_rows, inner)])
+
+
+def test_conflicts_do_not_pair_records(spark):
+    # 2,000 observations of one path, each by a record that has seen all before it
+    seen = [("p", f"x{i}", f"o{i % 2}", i + 1, f"r{i}") for i in range(2000)]
+    known = [(f"r{i}", f"o{o}", i) for i in range(2000) for o in (0, 1)]
+    found = log.conflicts(spark.createDataFrame(seen, OBSERVED), spark.createDataFrame(known, SEEN))
+    assert found.collect() == [] and most_rows(found._jdf.queryExecution().executedPlan()) <= 3 * 2000
+
+
 def test_latest_replication_does_not_depend_on_the_order_of_rows(spark):
     from holdfast.operators import metadata
 
