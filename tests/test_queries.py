@@ -45,6 +45,18 @@ def test_checked_sums_of_large_keys(spark, tmp_path, factor, fails):
         assert plain(run()) == plain(sql())
 
 
+def test_latest_replication_keeps_the_later_event(spark, db):
+    # location_1 has two rows of scan_1, of events 100030 and 5; one thread takes the SQL's rows in their order, several in any
+    got = registry.QUERIES["e05_latest_replication"](spark, SF).toPandas()
+    assert got.set_index("destination_id").status["location_1"] == "verified"
+    threads = db.execute("SELECT current_setting('threads')").fetchone()[0]
+    db.execute("SET threads = 1")
+    try:
+        assert plain(got) == plain(db.execute(registry.ORACLES["e05_latest_replication"]).df())
+    finally:
+        db.execute(f"SET threads = {threads}")
+
+
 def test_every_query_has_its_sql():
     assert set(registry.QUERIES) == set(registry.ORACLES)
 
